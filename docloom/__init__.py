@@ -1,0 +1,10 @@
+"""docloom: structured fields out of scanned and textual documents, as Spark DataFrame operators.
+
+Functions that run in Python workers travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
