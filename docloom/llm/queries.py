@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, warc
 
 QUERIES = {
+    "op6_warc_index": warc.op6_warc_index,
     "op8_virtual_slots": sharding.op8_virtual_slots,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_index": warc.ORACLE,
+}
