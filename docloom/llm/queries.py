@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, quality, sharding, warc
+from . import language, licenses, quality, sharding, warc
 
 QUERIES = {
+    "op1_license_blocks": licenses.op1_license_blocks,
     "op10_output_codes": language.op10_output_codes,
     "op2_subword_quality": quality.op2_subword_quality,
     "op6_warc_index": warc.op6_warc_index,
