@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, licenses, quality, sharding, warc
+from . import jaccard, language, licenses, quality, sharding, warc
 
 QUERIES = {
+    "op7_adaptive_prefix": jaccard.op7_adaptive_prefix,
     "op1_license_blocks": licenses.op1_license_blocks,
     "op10_output_codes": language.op10_output_codes,
     "op2_subword_quality": quality.op2_subword_quality,
