@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, licenses, quality, sharding, warc
+from . import jaccard, language, licenses, quality, sharding, topk, warc
 
 QUERIES = {
+    "op9_dual_cover_tree": topk.op9_dual_cover_tree,
     "op7_adaptive_prefix": jaccard.op7_adaptive_prefix,
     "op1_license_blocks": licenses.op1_license_blocks,
     "op10_output_codes": language.op10_output_codes,
@@ -15,4 +16,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_index": warc.ORACLE,
+    "op7_adaptive_prefix": jaccard.ORACLE,
+    "op9_dual_cover_tree": topk.ORACLE,
 }
