@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, licenses, quality, sharding, topk, warc
+from . import jaccard, language, licenses, mixing, packing, quality, sharding, topk, warc
 
 QUERIES = {
+    "op3_pfair_mix": mixing.op3_pfair_mix,
+    "op4_length_buckets": packing.op4_length_buckets,
     "op9_dual_cover_tree": topk.op9_dual_cover_tree,
     "op7_adaptive_prefix": jaccard.op7_adaptive_prefix,
     "op1_license_blocks": licenses.op1_license_blocks,
