@@ -39,9 +39,10 @@ PERCENT = 80
 #: The counting table has 2 ** COUNT_BITS counters, sent about in pieces.
 COUNT_BITS, PIECE = 20, 1 << 12
 #: Runs of up to so many rows are paired up.
-SHORT_RUN = 12
-#: Longest multi-match that is considered.
-MOST_MATCHES = 8
+SHORT_RUN = 48
+#: Cost model: candidates that a prefix shingle brings though the counting table can't show it, and the
+#: cost of verifying one shingle in units of counting one prefix shingle.
+UNSEEN, VERIFY = 0.02, 0.1
 #: Documents of a verification tile.
 TILE = 256
 #: Bits of the filter that keeps documents without candidates from being read again.
@@ -93,12 +94,11 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
     f = counts[s >> np.uint64(64 - COUNT_BITS)]
     order = np.lexsort((s, f))
     n, need = len(s), least(len(s), percent)
-    most = min(MOST_MATCHES, need)
-    over = np.maximum(f[order][: n - need + most].astype(np.float64) - 2 * usual, 0)  # beyond what chance puts into a counter
-    total = np.cumsum(over)
-    matches = np.arange(1, most + 1)
-    entries = total[n - need : n - need + most]
-    cost = entries + n * entries / matches + matches
+    matches = np.unique(np.geomspace(1, max(1, need // 4), 24).astype(int))
+    seen = np.maximum(f[order].astype(np.float64) - 2 * usual, 0)  # beyond what chance puts into a counter
+    sizes = n - need + matches
+    partners = np.cumsum(seen + UNSEEN)[sizes - 1]
+    cost = sizes + np.cumsum(seen)[sizes - 1] + VERIFY * n * partners / matches
     chosen = int(matches[cost.argmin()])
     return chosen, s[order[: n - need + chosen]]
 
