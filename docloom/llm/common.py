@@ -45,6 +45,13 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand whole texts to Python workers a few at a time, so that their memory doesn't follow the default of 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """Null texts are empty texts."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

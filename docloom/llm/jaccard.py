@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 from .graph import components
 from .shingles import Shingler
 
@@ -56,6 +56,7 @@ def least(n: int, percent: int = PERCENT) -> int:
 
 def profile(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n and digest (d1, d2) of every row, and the counting table over all of them."""
+    small_batches(docs.sparkSession)
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(), np.zeros(1 << COUNT_BITS, np.uint32)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, small_batches, table
 from .ngrams import bags, means
 
 BITS = 15
@@ -85,6 +85,7 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn the bits from rows with a language that aren't held out; the sample's size is a parameter."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -150,6 +151,7 @@ def fitted(data: list, ys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of every row, in one pass over the texts."""
+    small_batches(docs.sparkSession)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
     """The rows, with all their columns, whose language is known and clear."""
+    small_batches(docs.sparkSession)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 #: Words of a block and from one block's start to the next; a template is no longer than the overlap.
 BLOCK, STEP = 48, 24
@@ -90,6 +90,7 @@ def templates(threshold: float = THRESHOLD, texts: dict[str, str] = TEMPLATES, p
 
 def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """In how many documents of the corpus each template word occurs."""
+    small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
@@ -163,6 +164,7 @@ _BLOCK = pa.struct([("label", pa.string()), ("template", pa.string()), ("first_w
 
 def scan(docs: DataFrame, wanted: list[Template] | None = None) -> DataFrame:
     """Every row's number of words, phrase places and matching blocks: two passes, no shuffle of texts."""
+    small_batches(docs.sparkSession)
     wanted = wanted or templates()
     index = Index(wanted, frequencies(docs, frozenset(w for t in wanted for w in t.words)))
 

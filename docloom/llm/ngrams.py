@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are taken together until they have so many characters; a longer text stands alone.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 def batches(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, text_of
+from .common import held_out, small_batches, table, text_of
 from .ngrams import bags, means
 
 BITS = 17
@@ -58,6 +58,7 @@ def sampled(labels: DataFrame, per_label: int = PER_LABEL) -> tuple[DataFrame, d
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from rows that aren't held out. The sample's size is a parameter, so it may be broadcast."""
+    small_batches(docs.sparkSession)
     picked, counts = sampled(labels, per_label)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,7 @@ def fitted(data: list, ys: np.ndarray, prior: float) -> tuple[np.ndarray, float]
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row, in one pass over the texts."""
+    small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +118,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score at least so much."""
+    small_batches(docs.sparkSession)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

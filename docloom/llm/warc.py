@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, small_batches, table
 from .files import opened
 
 #: Payloads shorter than this are never revisits.
@@ -115,6 +115,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, file_bytes:
     A file's name holds the task attempt's own token, and only the index says which files count: what a
     lost or repeated attempt has written is never read.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     known = revisits(pages, min_bytes).distinct().withColumnRenamed("page_id", "_page")
     rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("_page")), "left")
