@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, licenses, mixing, packing, quality, sharding, topk, warc
+from . import jaccard, language, licenses, mixing, packing, quality, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op3_pfair_mix": mixing.op3_pfair_mix,
     "op4_length_buckets": packing.op4_length_buckets,
     "op9_dual_cover_tree": topk.op9_dual_cover_tree,
