@@ -1,16 +1,74 @@
-"""The corpus pipeline: documents go through the stages in order, each written and read again."""
+"""The corpus pipeline: documents go through the stages in order, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+`docs`. Decisions: the quality classifier drops what it predicts as label 0; language ID drops what has
+no letter or no clear language; of each group of near duplicates (five-word shingles, Jaccard 0.8) the
+row of least id stays; mixing puts rows into the order of the Pfair schedule, which the written files
+keep; packing forms batches in that order. Nulls, empty texts and repeated rows are handled as each
+operator's text says; rows of one id count as one document for deduplication.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docloom.llm import jaccard, language, mixing, packing, quality
+from docloom.llm.common import table, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labels of the documents at hand; keep what is predicted as label 1."""
+    return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the documents' own languages; keep rows of known and clear language."""
+    return language.kept(docs, language.train(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: that of the least id."""
+    found = written(jaccard.join(docs).select(F.col("doc_id").alias("_docloom_id"), "component_id"), "components")
+    drop = found.where("component_id <> _docloom_id").select("_docloom_id").distinct()
+    kept = jaccard.without(docs, drop)
+    if found.where("_docloom_id IS NOT NULL").groupBy("_docloom_id").count().where("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        own = kept.where("doc_id IS NOT NULL").withColumn("_docloom_first", first).where("_docloom_first = 1").drop("_docloom_first")
+        kept = own.unionByName(kept.where("doc_id IS NULL"))
+    return kept
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in the order of the schedule."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of the rows in the order in which the stage before has written them."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-.*?-c(\d+)", 1).cast("long")
+    again = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-.*?-c(\d+)", 2).cast("long")
+    row = F.col("_metadata.row_index")
+    rows = docs.select("doc_id", "text", (part * 1000 + again).alias("_file"), row.alias("_row"))
+    chunk = F.col("_file") * (1 << 24) + F.floor(F.col("_row") / packing.CHUNK_ROWS)
+    return packing.packed(rows, chunk=chunk, order=[F.col("_file"), F.col("_row")])
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Learned classifiers and the schedule aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to the documents; what goes between them is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

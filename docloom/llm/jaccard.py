@@ -225,27 +225,49 @@ def member_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def passing(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
+    """The rows that the filter over `ids` (column id) lets through, or those that it doesn't."""
+    bits = docs.sparkSession.sparkContext.broadcast(member_filter(ids))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).fill_null(0).to_numpy()
+            # bitmap_bucket_number(x) is 1 + (x - 1) // 32768 for x > 0, else 0; bitmap_bit_position(x) is (x - 1) % 32768, or 0
+            bucket, bit = np.where(place > 0, 1 + (place - 1) // 32768, 0), np.where(place > 0, (place - 1) % 32768, 0)
+            hit = (bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == inside)).select(list(range(batch.num_columns - 1)))
+
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("_docloom_place")
+    return docs.select("*", place).mapInArrow(passed, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't in `ids` (column _docloom_id).
+
+    Rows that the filter doesn't let through can't be among them and stay where they are; only the
+    rest, about as many as there are ids, is shuffled for the exact join.
+    """
+    small_batches(docs.sparkSession)
+    named = ids.select(F.col("_docloom_id").alias("id"))
+    maybe = passing(docs, named, True)
+    return passing(docs, named, False).union(maybe.join(ids, F.col("doc_id") == F.col("_docloom_id"), "left_anti"))
+
+
 def verified(docs: DataFrame, links: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, links: for every tile, each linked document with one of its group there and its number of links."""
-    spark = docs.sparkSession
     clusters = written(components(links), "clusters")
     tiles = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("component", "_c")
     members = clusters.join(tiles, F.col("component") == F.col("_c"))
     t = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("t1"), F.greatest(F.col("t"), o).alias("t2")))
-    bits = spark.sparkContext.broadcast(member_filter(clusters.select(F.col("node").alias("id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            # bitmap_bucket_number(x) is 1 + (x - 1) // 32768 for x > 0, else x // 32768; bitmap_bit_position(x) is (x - 1) % 32768, or -x % 32768
-            bucket, bit = np.where(place > 0, 1 + (place - 1) // 32768, 0), np.where(place > 0, (place - 1) % 32768, 0)
-            batch = batch.filter(pa.array((bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingler.sets(batch.column("text").to_pylist())], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingler.sets(batch.column("text").to_pylist())], pa.binary())})
 
-    wanted = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("place"))
+    wanted = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = passing(wanted, clusters.select(F.col("node").alias("id")), True)
     wanted = wanted.mapInArrow(sets, "doc_id long, shingles binary")
     wanted = wanted.join(members.withColumn("t", t), F.col("doc_id") == F.col("node"))
     wanted = wanted.select(F.col("component").alias("c"), "t", F.explode(pair).alias("p"), "doc_id", "shingles").select("c", "p.t1", "p.t2", "t", "doc_id", "shingles")

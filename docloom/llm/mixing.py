@@ -10,7 +10,8 @@ slots empty and the others keep their shares of each other, so that every row ge
 
 Defined results: a null source is a source of its own; null and empty texts have one byte; a text longer
 than a block takes as many of its source's blocks as it fills; repeated rows get places of their own;
-an empty table gives an empty result. Columns whose names clash with the results' are not carried.
+an empty table gives an empty result. The rows' own columns are
+carried in a struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -59,12 +60,13 @@ def schedule(slots: list[int]) -> list[int]:
 
 
 def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns with _source, _size, _block, _release, _deadline, _slot and _at (bytes of the source before the row).
+    """Every row as the struct _row, with _source, _size, _block, _release, _deadline, _slot and _at (bytes of the source before the row).
 
     Ordering by _slot and _at gives the mixed sequence.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("_size", F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), "_row.source"), F.lit("null"))).withColumn("_size", F.greatest(F.octet_length(F.coalesce("_row.text", F.lit(""))), F.lit(1)).cast("long"))
     stats = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).orderBy("_source").limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -82,8 +84,8 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
     per_source = spark.createDataFrame([(r._source, n, pieces(r.n)) for r, n in zip(stats, q, strict=True)], "_s string, _q long, _pieces long")
     turn = spark.createDataFrame(turns, "_s string, _turn long, _t long")
     rows = rows.join(F.broadcast(per_source), F.col("_source") == F.col("_s")).drop("_s").withColumnRenamed("_size", "_bytes")
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("_pieces"))
-    order: list[Column] = [F.xxhash64("doc_id", F.lit(4)), F.col("doc_id"), F.xxhash64("text")]
+    chunk = F.pmod(F.xxhash64("_row.doc_id", F.lit(3)), F.col("_pieces"))
+    order: list[Column] = [F.xxhash64("_row.doc_id", F.lit(4)), F.col("_row.doc_id"), F.xxhash64("_row.text")]
     rows = ranked(rows, "_source", chunk, order, "_at", F.col("_bytes")).withColumnRenamed("_bytes", "_size")
     rows = rows.withColumn("_block", F.floor(F.col("_at") / block_bytes))
     rows = rows.join(F.broadcast(turn), (F.col("_source") == F.col("_s")) & (F.col("_block") % F.col("_q") == F.col("_turn")))
@@ -95,10 +97,10 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows with their own columns, in the mixed sequence: written out, files and rows follow it."""
     out = placed(docs, weights, block_bytes)
-    return out.repartitionByRange("_slot", "_at").sortWithinPartitions("_slot", "_source", "_at", "doc_id").select(*docs.columns)
+    return out.repartitionByRange("_slot", "_at").sortWithinPartitions("_slot", "_source", "_at").select("_row.*")
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of sources by the square root of their bytes."""
     rows = placed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("_at").alias("bytes_before"))
+    return rows.select("_row.doc_id", "_row.source", F.col("_size").alias("size"), F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("_at").alias("bytes_before"))

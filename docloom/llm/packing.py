@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ranked, table, text_of
+from .common import CHUNK_ROWS, pieces, ranked, table, text_of
 
 BUCKETS = 16
 #: Padded tokens of a batch.
