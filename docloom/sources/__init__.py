@@ -1,0 +1 @@
+"""Sources: image listings, archives, token tables and recognisers."""

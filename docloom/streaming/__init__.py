@@ -1,0 +1 @@
+"""The extraction over streams."""
