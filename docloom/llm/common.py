@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: reading, scratch tables, ranks without hot tasks."""
+"""Shared plumbing of the training-data operators: reading, scratch tables, held-out rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import math
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one ranking task holds at a time (see :func:`ranked`).
-CHUNK_ROWS = 1024
+from ..operators.ranks import CHUNK_ROWS, ranked
+
+
+__all__ = ["CHUNK_ROWS", "dropped", "held_out", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,27 +64,6 @@ def held_out(col: str = "doc_id") -> Column:
     return (F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % 3) == 1
 
 
-def ranked(df: DataFrame, key: str, chunk: Column, order: list[Column], out: str, size: Column | None = None) -> DataFrame:
-    """Rank from 0 of each row within its key, or with `size` the sum of sizes before it, without one task per key.
-
-    `chunk` (a whole number) cuts each key into pieces of bounded size, in the order wanted of the
-    ranks. Rows are numbered inside (key, chunk); the pieces' totals are summed up in two levels of
-    small windows, so that neither the rows nor the pieces of one hot key meet in one task. The
-    totals are dealt as the rows already are, so the rows are shuffled once. Keys mustn't be null.
-    """
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = df.withColumn("_chunk", chunk).withColumn("_size", size if size is not None else F.lit(1).cast("long"))
-    rows = base.withColumn("_in", before("_size", Window.partitionBy(key, "_chunk").orderBy(*order)))
-    counts = base.groupBy(key, "_chunk").agg(F.sum("_size").alias("_n")).withColumn("_group", F.floor(F.col("_chunk") / CHUNK_ROWS))
-    groups = counts.groupBy(key, "_group").agg(F.sum("_n").alias("_n"))
-    groups = groups.select(F.col(key).alias("_gk"), F.col("_group").alias("_gg"), before("_n", Window.partitionBy(key).orderBy("_group")).alias("_far"))
-    near = counts.select(key, "_chunk", "_group", before("_n", Window.partitionBy(key, "_group").orderBy("_chunk")).alias("_near"))
-    offsets = near.join(groups, (F.col(key) == F.col("_gk")) & (F.col("_group") == F.col("_gg")))
-    offsets = offsets.select(F.col(key).alias("_ok"), F.col("_chunk").alias("_oc"), (F.col("_near") + F.col("_far")).alias("_off"))
-    joined = rows.join(offsets, (F.col(key) == F.col("_ok")) & (F.col("_chunk") == F.col("_oc")))
-    return joined.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_chunk", "_size", "_in", "_ok", "_oc", "_off")
-
-
 def pieces(count: int) -> int:
     """How many chunks of about CHUNK_ROWS rows so many rows make."""
     return max(1, math.ceil(count / CHUNK_ROWS))

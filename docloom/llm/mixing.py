@@ -59,14 +59,19 @@ def schedule(slots: list[int]) -> list[int]:
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row as the struct _row, with _source, _size, _block, _release, _deadline, _slot and _at (bytes of the source before the row).
+def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Every row (its columns in `carry`, else all) as the struct _row, with _source, _size, _block, _release, _deadline, _slot and _at (bytes of the source before the row).
 
     Ordering by _slot and _at gives the mixed sequence.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("_row"))
-    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), "_row.source"), F.lit("null"))).withColumn("_size", F.greatest(F.octet_length(F.coalesce("_row.text", F.lit(""))), F.lit(1)).cast("long"))
+    rows = docs.select(
+        F.struct(*(carry or ["*"])).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        F.xxhash64("text").alias("_tie"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"),
+        F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long").alias("_size"),
+    )
     stats = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).orderBy("_source").limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -84,14 +89,14 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
     per_source = spark.createDataFrame([(r._source, n, pieces(r.n)) for r, n in zip(stats, q, strict=True)], "_s string, _q long, _pieces long")
     turn = spark.createDataFrame(turns, "_s string, _turn long, _t long")
     rows = rows.join(F.broadcast(per_source), F.col("_source") == F.col("_s")).drop("_s").withColumnRenamed("_size", "_bytes")
-    chunk = F.pmod(F.xxhash64("_row.doc_id", F.lit(3)), F.col("_pieces"))
-    order: list[Column] = [F.xxhash64("_row.doc_id", F.lit(4)), F.col("_row.doc_id"), F.xxhash64("_row.text")]
+    chunk = F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_pieces"))
+    order: list[Column] = [F.xxhash64("_id", F.lit(4)), F.col("_id"), F.col("_tie")]
     rows = ranked(rows, "_source", chunk, order, "_at", F.col("_bytes")).withColumnRenamed("_bytes", "_size")
     rows = rows.withColumn("_block", F.floor(F.col("_at") / block_bytes))
     rows = rows.join(F.broadcast(turn), (F.col("_source") == F.col("_s")) & (F.col("_block") % F.col("_q") == F.col("_turn")))
     rows = rows.withColumn("_slot", F.floor(F.col("_block") / F.col("_q")) * period + F.col("_t"))
     rows = rows.withColumn("_release", F.floor(F.col("_block") * period / F.col("_q"))).withColumn("_deadline", F.ceil((F.col("_block") + 1) * period / F.col("_q")))
-    return rows.drop("_s", "_turn", "_t", "_q", "_pieces")
+    return rows.drop("_s", "_turn", "_t", "_q", "_pieces", "_id", "_tie")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -102,5 +107,5 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of sources by the square root of their bytes."""
-    rows = placed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = placed(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
     return rows.select("_row.doc_id", "_row.source", F.col("_size").alias("size"), F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("_at").alias("bytes_before"))
