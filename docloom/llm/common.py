@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import CHUNK_ROWS, ranked
 
-
 __all__ = ["CHUNK_ROWS", "dropped", "held_out", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
 
 
@@ -37,14 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.docloom_path = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing will read again, through Hadoop's file system."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.docloom_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

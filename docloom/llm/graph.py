@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: Rounds after which something must be wrong: each at least halves the longest path.
 MOST_ROUNDS = 60
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_u")
         small = large.join(low, F.col("a") == F.col("_u"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = written(small.where("a <> b").distinct(), "edges")
+        before, now = now, written(small.where("a <> b").distinct(), "edges")
+        dropped(before)
     else:
         raise RuntimeError("components didn't settle")
     least = now.groupBy("a").agg(F.min("b").alias("component"))

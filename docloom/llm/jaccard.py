@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import dropped, small_batches, table, written
 from .graph import components
 from .shingles import Shingler
 
@@ -253,9 +253,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return passing(docs, named, False).union(maybe.join(ids, F.col("doc_id") == F.col("_docloom_id"), "left_anti"))
 
 
-def verified(docs: DataFrame, links: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, links: for every tile, each linked document with one of its group there and its number of links."""
-    clusters = written(components(links), "clusters")
+def verified(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, links: for every tile of the clusters (node, component), each linked document with one of its group there and its number of links."""
     tiles = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("component", "_c")
     members = clusters.join(tiles, F.col("component") == F.col("_c"))
     t = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -319,11 +318,14 @@ def matches(group: pa.Table, percent: int = PERCENT) -> pa.Table:
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and links (to other classes of texts) of every row."""
     rows, counts = profile(docs, percent)
-    edges = written(verified(docs, candidates(docs, rows, counts, percent), percent), "links")
+    links = candidates(docs, rows, counts, percent)
+    clusters = written(components(links), "clusters")
+    edges = written(verified(docs, clusters, percent), "links")
+    dropped(links, clusters)
     found = components(edges.select("a", "b"))
-    links = edges.groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
+    counted = edges.groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("_l"), "left")
+    classes = classes.join(found, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("_l"), "left")
     classes = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("_c"), F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.join(classes, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_c"))).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
