@@ -11,7 +11,8 @@ Python's integers.
 
 Defined results: vectors that are null, empty or hold null, infinite or NaN components take no part,
 nor do rows of null id; vectors of different lengths aren't compared; rows that share the query's id
-are its own; a query with fewer candidates than k has fewer rows; repeated query rows give one answer.
+are its own; a query with fewer candidates than k has fewer rows; a score that no long
+holds is an error; repeated query rows give one answer.
 Extra columns don't matter.
 """
 
@@ -30,8 +31,8 @@ K = 5
 SCALE = 256
 #: Rows of a data block and of a query block.
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
-#: A node of so few points isn't divided.
-LEAF = 256
+#: A node of so few points (of so few queries) isn't divided.
+LEAF, QUERY_LEAF = 256, 256
 #: A child's covering radius is at most this share of its parent's.
 SHRINK = 0.8
 #: A node is divided into at most so many children; what they don't cover stays with the nearest.
@@ -49,7 +50,7 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray, center: np.ndarray | None = None) -> Node:
+def cover_tree(points: np.ndarray, rows: np.ndarray, center: np.ndarray | None = None, leaf: int = LEAF) -> Node:
     """Divide points by centres that lie further apart than the children's radius, until nodes are small.
 
     Radii are measured, not assumed, so that they bound even where children were limited.
@@ -59,7 +60,7 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, center: np.ndarray | None =
         center = own[np.abs(own - own.mean(0)).sum(1).argmin()]
     away = np.sqrt(((own - center) ** 2).sum(1))
     node = Node(center, float(away.max()), float(np.sqrt((center**2).sum())), rows)
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= leaf or node.radius == 0:
         return node
     reach = node.radius * SHRINK
     nearest, owner, centers = away, np.zeros(len(rows), int), [center]
@@ -72,7 +73,7 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, center: np.ndarray | None =
     parts = [rows[owner == c] for c in range(len(centers))]
     if max(map(len, parts)) == len(rows):
         return node
-    node.children = [cover_tree(points, p, c) for p, c in zip(parts, centers, strict=True) if len(p)]
+    node.children = [cover_tree(points, p, c, leaf) for p, c in zip(parts, centers, strict=True) if len(p)]
     return node
 
 
@@ -84,10 +85,11 @@ class Search:
         self.scores = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.compared = 0
+        self.norms = np.sqrt((queries**2).sum(1)) if len(queries) else np.zeros(0)
 
     def run(self) -> Search:
         if len(self.queries) and len(self.data):
-            self._walk(cover_tree(self.queries, np.arange(len(self.queries))), cover_tree(self.data, np.arange(len(self.data))))
+            self._walk(cover_tree(self.queries, np.arange(len(self.queries)), leaf=QUERY_LEAF), cover_tree(self.data, np.arange(len(self.data))))
         return self
 
     def _bound(self, q: Node, d: Node) -> float:
@@ -98,8 +100,10 @@ class Search:
         if self._bound(q, d) < self.scores[q.rows, -1].min():
             return
         if not q.children and not d.children:
-            for i in range(0, len(d.rows), 4096):
-                self._compare(q.rows, d.rows[i : i + 4096])
+            most = self.queries[q.rows] @ d.center + d.radius * self.norms[q.rows]  # single queries are nodes of radius 0
+            rows = q.rows[most + 1e-9 * (np.abs(most) + self.norms[q.rows] * d.norm + 1) >= self.scores[q.rows, -1]]
+            for i in range(0, len(d.rows) if len(rows) else 0, 4096):
+                self._compare(rows, d.rows[i : i + 4096])
             return
         if q.children and (not d.children or q.radius > d.radius):
             for c in q.children:
