@@ -12,7 +12,8 @@ Python's integers.
 Defined results: vectors that are null, empty or hold null, infinite or NaN components take no part,
 nor do rows of null id; vectors of different lengths aren't compared; rows that share the query's id
 are its own; a query with fewer candidates than k has fewer rows; a score that no long
-holds is an error; repeated query rows give one answer.
+holds is an error; repeated query rows give one answer,
+and repeated rows are candidates each.
 Extra columns don't matter.
 """
 
