@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, language, mixing, packing, quality
-from docloom.llm.common import table, written
+from docloom.llm.common import fresh, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the least id."""
-    found = written(jaccard.join(docs).select(F.col("doc_id").alias("_docloom_id"), "component_id"), "components")
-    drop = found.where("component_id <> _docloom_id").select("_docloom_id").distinct()
-    kept = jaccard.without(docs, drop)
-    if found.where("_docloom_id IS NOT NULL").groupBy("_docloom_id").count().where("count > 1").limit(1).count():
+    found = written(jaccard.join(docs).select(F.col("doc_id").alias("id"), "component_id"), "components")
+    kept = jaccard.without(docs, found.where("component_id <> id").select("id").distinct())
+    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
+        place = fresh(docs, "_place")
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        own = kept.where("doc_id IS NOT NULL").withColumn("_docloom_first", first).where("_docloom_first = 1").drop("_docloom_first")
+        own = kept.where("doc_id IS NOT NULL").withColumn(place, first).where(F.col(place) == 1).drop(place)
         kept = own.unionByName(kept.where("doc_id IS NULL"))
     return kept
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import CHUNK_ROWS, ranked
 
-__all__ = ["CHUNK_ROWS", "dropped", "held_out", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
+__all__ = ["CHUNK_ROWS", "dropped", "fresh", "held_out", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, rows)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str | Column = "text") -> Column:
     """Null texts are empty texts."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

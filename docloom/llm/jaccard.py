@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, table, written
+from .common import dropped, fresh, small_batches, table, written
 from .graph import components
 from .shingles import Shingler
 
@@ -237,20 +237,20 @@ def passing(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
             hit = (bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(hit == inside)).select(list(range(batch.num_columns - 1)))
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("_docloom_place")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias(fresh(docs, "_place"))
     return docs.select("*", place).mapInArrow(passed, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't in `ids` (column _docloom_id).
+    """The rows whose doc_id isn't in `ids` (column id).
 
     Rows that the filter doesn't let through can't be among them and stay where they are; only the
     rest, about as many as there are ids, is shuffled for the exact join.
     """
     small_batches(docs.sparkSession)
-    named = ids.select(F.col("_docloom_id").alias("id"))
-    maybe = passing(docs, named, True)
-    return passing(docs, named, False).union(maybe.join(ids, F.col("doc_id") == F.col("_docloom_id"), "left_anti"))
+    own = fresh(docs, "_id")
+    maybe = passing(docs, ids, True)
+    return passing(docs, ids, False).union(maybe.join(ids.withColumnRenamed("id", own), F.col("doc_id") == F.col(own), "left_anti"))
 
 
 def verified(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:

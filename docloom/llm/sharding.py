@@ -54,7 +54,7 @@ def assign(sizes: list[int], shards: int) -> list[int]:
 
 
 def rebalance(sizes: list[int], was: list[int], shards: int, tolerance: float = 0.01) -> list[int]:
-    """The next version: slots move only from shards above the mean to the least loaded, until all are within tolerance."""
+    """The next version: slots move only from shards above the mean, never to below it, and to the least loaded, until all are within tolerance."""
     now = list(was)
     load = [0] * shards
     held: list[list[int]] = [[] for _ in range(shards)]
@@ -67,7 +67,7 @@ def rebalance(sizes: list[int], was: list[int], shards: int, tolerance: float =
             if load[shard] <= mean * (1 + tolerance):
                 break
             to = min(range(shards), key=lambda s: (load[s], s))
-            if to != shard and sizes[slot] and load[to] + sizes[slot] < load[shard]:
+            if 0 < sizes[slot] <= load[shard] - mean and load[to] + sizes[slot] <= mean * (1 + tolerance):
                 now[slot] = to
                 load[shard] -= sizes[slot]
                 load[to] += sizes[slot]

@@ -108,6 +108,6 @@ def test_components_of_paths_and_stars(spark):
 
 def test_without_keeps_everything_else(spark):
     docs = spark.createDataFrame([(i if i % 7 else None, "t", i) for i in range(500)], "doc_id long, text string, _id int")
-    drop = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "_docloom_id long")
+    drop = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "id long")
     found = sorted(r._id for r in jaccard.without(docs, drop).collect())
     assert found == [i for i in range(500) if not i % 7 or i % 3]
