@@ -191,3 +191,27 @@ def op1_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.greatest(F.when(F.size("places") > 0, 1.0), F.array_max("blocks.containment")), F.lit(0.0)).alias("score"),
         F.size("blocks").cast("long").alias("n_blocks"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL that tries every block with every template and every place with every phrase."""
+    listed = lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
+    wanted = templates()
+    rows = ", ".join(f"('{t.label}', {listed(dict.fromkeys(t.words))}, {len(set(t.words))}, {t.least})" for t in wanted if not t.phrase)
+    phrases = ", ".join(f"('{t.label}', {listed(t.words)}, {len(t.words)})" for t in wanted if t.phrase)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) v(label, words, n, least)),
+p AS (SELECT * FROM (VALUES {phrases}) v(label, words, n)),
+b AS (SELECT doc_id, k, list_distinct(w[k * {STEP} + 1 : k * {STEP} + {BLOCK}]) AS s FROM (SELECT doc_id, w, unnest(range(CAST(greatest(0, ceil((len(w) - {BLOCK}) / {STEP})) AS BIGINT) + 1)) AS k FROM w)),
+m AS (SELECT b.doc_id, b.k, t.*, len(list_intersect(b.s, t.words)) / t.n AS c FROM b JOIN t ON len(list_intersect(b.s, t.words)) >= t.least),
+f AS (SELECT doc_id, label, c FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.k = m.k AND o.n > m.n AND list_has_all(o.words, m.words))),
+i AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
+a AS (SELECT i.doc_id, p.label, i.i FROM i JOIN p ON i.w[i.i + 1 : i.i + p.n] = p.words),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM a GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS n_blocks, max(c) AS c FROM f GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM a UNION SELECT doc_id, label FROM f) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(g.n_base, 0) AS n_base, g.first_word, g.last_word, coalesce(g.base_labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  coalesce(greatest(CASE WHEN g.n_base > 0 THEN CAST(1 AS DOUBLE) END, h.c), CAST(0 AS DOUBLE)) AS score, coalesce(h.n_blocks, 0) AS n_blocks
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id
+"""
