@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ranks import CHUNK_ROWS, ranked
+from .ranks import CHUNK_ROWS, ranked, spread_join
 
 
 def planned(results: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def deduplicated(rows: DataFrame, existing: DataFrame | None = None, whole: bool
         has = has.withColumn("stem", F.substring("filename", F.lit(1), F.length("filename") - F.length("ext")))
         has = has.select(F.lit(None).cast("long").alias("seq"), "filename", "ext", "stem", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), F.lit("/"), "ext").alias("family"))
         families = families.join(has.select("family").distinct().withColumn("met", F.lit(True)), "family", "left").select("family", (F.col("single") & F.col("met").isNull()).alias("single"))
-    named = named.join(families.withColumnRenamed("family", "_f"), F.col("family") == F.col("_f")).drop("_f")
+    named = spread_join(named, families.withColumnRenamed("family", "_f"), "family", "_f", ["seq"])
     easy = ranked(named.where("single"), "family", F.floor(F.col("seq") / CHUNK_ROWS), [F.col("seq")], "k")
     easy = easy.select("seq", "filename", F.when(F.col("k") == 0, F.col("filename")).otherwise(F.concat("stem", F.lit("_"), (F.col("k") + 1).cast("string"), "ext")).alias("target"))
     hard = named.where("NOT single").select("family", "seq", "filename", "stem", "ext")

@@ -28,3 +28,16 @@ def ranked(df: DataFrame, key: str, chunk: Column, order: list[Column], out: str
     offsets = offsets.select(F.col(key).alias("_ok"), F.col("_chunk").alias("_oc"), (F.col("_near") + F.col("_far")).alias("_off"))
     joined = rows.join(offsets, (F.col(key) == F.col("_ok")) & (F.col("_chunk") == F.col("_oc")))
     return joined.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_chunk", "_size", "_in", "_ok", "_oc", "_off")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, left: str, right: str, by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join rows with a table of one row per key where one key may hold a large share of the rows.
+
+    A table that was just aggregated by its key is dealt by it already, and adaptive execution can't
+    split a join that rests on that. So rows also get a salt out of the columns `by`, and the table's
+    rows go once to each salt: a hot key spreads over as many tasks at once, and both sides are dealt
+    anew for this join alone, which adaptive execution may split further.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    keyed = keyed.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(keyed, (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_salted")), how).drop("_salt", "_salted", right)
