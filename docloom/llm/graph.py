@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import spread_join
 from .common import dropped, written
 
 #: Rounds after which something must be wrong: each at least halves the longest path.
@@ -16,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each node hangs its neighbours onto its least one.
     The edges never outgrow the input; each round is written to the shared folder, and rounds end when
-    an order-free checksum of the edges stays the same. Joins are plain shuffled joins on nodes, which
-    adaptive execution splits where a node has very many neighbours.
+    an order-free checksum of the edges stays the same. Joins spread a node of very many neighbours over
+    several tasks.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = None
@@ -28,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         was = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("m"))
-        large = now.join(least, F.col("b") == F.col("_u")).select(F.col("a"), F.col("m").alias("b")).distinct()
+        large = spread_join(now, least, "b", "_u", ["a"]).select(F.col("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_u")
-        small = large.join(low, F.col("a") == F.col("_u"))
+        small = spread_join(large, low, "a", "_u", ["b"])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         before, now = now, written(small.where("a <> b").distinct(), "edges")
         dropped(before)

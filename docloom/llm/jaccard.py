@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import spread_join
 from .common import dropped, fresh, small_batches, table, written
 from .graph import components
 from .shingles import Shingler
@@ -256,7 +257,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, links: for every tile of the clusters (node, component), each linked document with one of its group there and its number of links."""
     tiles = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("component", "_c")
-    members = clusters.join(tiles, F.col("component") == F.col("_c"))
+    members = spread_join(clusters, tiles, "component", "_c", ["node"])
     t = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("t1"), F.greatest(F.col("t"), o).alias("t2")))
 

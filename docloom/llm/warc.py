@@ -6,9 +6,8 @@ merges ranges that lie close together and reads each merged range once.
 
 Of records with equal payloads of at least `min_revisit` bytes, that with the largest id is the
 response and the others are revisits that carry headers alone. Which one that is comes from an
-aggregate over digests; the join back is a plain shuffled join of ids and digests, which adaptive
-execution splits where one payload is hot. Payloads themselves are not shuffled: writers take the
-rows as the scan gives them and look the record types up by id.
+aggregate over digests, of which only those that repeat go on; the join back, of ids and digests,
+spreads a hot payload over tasks. Pages then join their record types by id.
 
 Defined results: null html is an empty payload; a null URL is written as about:blank; control
 characters and spaces in URLs are percent-encoded; null ids are less than all others; repeated rows
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import spread_join
 from .common import scratch, small_batches, table
 from .files import opened
 
@@ -101,12 +101,12 @@ def decode(member: bytes) -> dict:
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, refers_to of the pages that are revisits: only ids and digests move."""
+    """page_id, digest, refers_to of the pages that are revisits: only ids and digests move."""
     rows = pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("_digest"))
     first = rows.groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    rows = rows.withColumnRenamed("_digest", "_d")
-    found = rows.join(first, F.col("_d") == F.col("_digest")).where("refers_to IS NOT NULL AND NOT (page_id <=> refers_to)")
-    return found.select("page_id", "refers_to")
+    found = spread_join(rows.withColumnRenamed("_digest", "_d"), first, "_d", "_digest", ["page_id"])
+    found = found.where("refers_to IS NOT NULL AND NOT (page_id <=> refers_to)")
+    return found.select("page_id", F.col("_d").alias("digest"), "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -117,9 +117,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, file_bytes:
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    known = revisits(pages, min_bytes).distinct().withColumnRenamed("page_id", "_page")
-    rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("_page")), "left")
-    rows = rows.select("page_id", "url", "html", F.when(F.octet_length("html") >= min_bytes, F.col("refers_to")).alias("refers_to"))
+    known = revisits(pages, min_bytes).withColumnRenamed("page_id", "_page")
+    own = F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "UTF-8")))
+    rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("_page")) & (own == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, name, at = None, "", 0
