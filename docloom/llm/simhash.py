@@ -21,12 +21,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from ..operators.ranks import spread_join
+from .common import table, text_of, written
 
 #: Words of a term.
 WIDTH = 5
 #: Hamming radius of the pair search, and how many blocks must agree.
-RADIUS, AGREE = 3, 2
+RADIUS, AGREE = 3, 3
 #: Rows that one neighbour window holds, about.
 WINDOW_ROWS = 1024
 #: Ranges of ids of equal count, found by approximate quantiles; each is cut into equal widths, at most so
@@ -140,8 +141,15 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> Data
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
+def near_counts(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """_fp and n_near: how many other fingerprints lie within the radius, for those that have any."""
+    pairs = near_pairs(fps, radius)
+    return pairs.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count(F.lit(1)).alias("n_near"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, and how like it the edited text and the next document are."""
-    found = with_edits(table(spark, sf_dir, "documents"))
+    """Every document's fingerprint, how like it the edited text and the next document are, and how many other fingerprints are near."""
+    found = written(with_edits(table(spark, sf_dir, "documents")), "fingerprints")
+    found = spread_join(found, near_counts(found.select("fp")), "fp", "_fp", ["doc_id"], "left")
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"))

@@ -47,6 +47,8 @@ def test_query(spark, tiny, name):
         for a, b in zip(docs, docs[1:] + docs[:1], strict=True):
             k = len(a.text) // 3
             assert by[a.doc_id].edited_sha256 == hashlib.sha256((a.text[: len(a.text) - k] + b.text[:k]).encode()).hexdigest()
+            near = {r.fingerprint for r in rows if 0 < bin(int(r.fingerprint, 16) ^ int(by[a.doc_id].fingerprint, 16)).count("1") <= 3}
+            assert by[a.doc_id].n_near == len(near)
             assert len(by[a.doc_id].fingerprint) == 16 and by[a.doc_id].near_next == 1 - bin(int(by[a.doc_id].fingerprint, 16) ^ int(by[b.doc_id].fingerprint, 16)).count("1") / 64
     if n == 8:
         text = {r.doc_id: r.text for r in whole}
