@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import CHUNK_ROWS, ranked
 
-__all__ = ["CHUNK_ROWS", "dropped", "fresh", "held_out", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
+__all__ = ["CHUNK_ROWS", "dropped", "fresh", "held_out", "listed", "pieces", "ranked", "scratch", "small_batches", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def listed(spark: SparkSession, **columns: list[int | None]) -> DataFrame:
+    """A small table of whole numbers as a plan of the JVM alone: the lists are literals, indexed by a range."""
+    at = F.col("id").cast("int") + 1
+    values = {n: F.element_at(F.split(F.lit(",".join("" if x is None else str(x) for x in xs)), ","), at) for n, xs in columns.items()}
+    return spark.range(0, len(next(iter(columns.values()))), 1, 1).select(*[F.nullif(c, F.lit("")).cast("long").alias(n) for n, c in values.items()])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand whole texts to Python workers a few at a time, so that their memory doesn't follow the default of 10,000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

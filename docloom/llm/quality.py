@@ -6,9 +6,9 @@ numpy on the driver, from a bounded sample of labelled rows whose features the e
 output is linear in the vectors, scoring looks up one number per feature: the model that is sent out
 is one table of 2 ** BITS floats, whatever the corpus.
 
-Defined results: null and empty texts have no features and get the score of the prior; labels other
+Defined results: null and empty texts have no features and score 0.5, as both labels weigh alike; labels other
 than 0 and 1, null labels and ids without a document are not learnt from; a document with several
-labels counts with the least; with labels of one kind or none the score is their share (0.5 if none).
+labels counts with the least; with labels of one kind all score next to that, with none 0.5.
 Repeated rows are scored alike. Extra columns don't matter.
 """
 
@@ -36,7 +36,7 @@ RATE = 0.5
 
 @dataclass
 class Model:
-    """Per-bucket share of the logit, and the logit of the prior."""
+    """Per-bucket share of the logit, and a logit added to all."""
 
     weights: np.ndarray
     bias: float
@@ -71,13 +71,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     ys = rows["y"].to_numpy()
     data = [(np.frombuffer(i.as_py(), np.uint32), np.frombuffer(n.as_py(), np.float32)) for i, n in zip(rows["ids"], rows["ns"], strict=True)]
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     if not n0 or not n1 or len(set(ys.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if n0 == n1 else (30.0 if n1 else -30.0))
-    return Model(*fitted(data, ys, prior))
+    return Model(fitted(data, ys), 0.0)
 
 
-def fitted(data: list, ys: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def fitted(data: list, ys: np.ndarray) -> np.ndarray:
     """Stochastic gradient descent on one document at a time, with a falling rate."""
     draw = np.random.default_rng(7)
     vectors = draw.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -102,7 +101,7 @@ def fitted(data: list, ys: np.ndarray, prior: float) -> tuple[np.ndarray, float]
             back = output @ g
             output -= np.outer(mean, g)
             vectors[ids] -= (part * min(len(ids), 200))[:, None] * back
-    return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), 0.0
+    return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float32)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import listed, scratch, table
 
 SHARDS = 40
 #: Fixed for the life of a data set. The driver holds one count and one sum for each.
@@ -76,16 +76,8 @@ def rebalance(sizes: list[int], was: list[int], shards: int, tolerance: float =
 
 def stored(spark: SparkSession, path: str, version: int, shard_of: list[int], sizes: list[int], counts: list[int]) -> DataFrame:
     """Write one version of the slot map beside the earlier ones and read it back."""
-
-    def listed(values: list[int]) -> Column:  # folded into one array when the plan is made
-        return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), F.col("id").cast("int") + 1)
-
-    spark.range(0, len(shard_of), 1, 1).select(
-        F.col("id").cast("int").alias("vslot"),
-        listed(shard_of).cast("int").alias("shard"),
-        listed(sizes).cast("long").alias("bytes"),
-        listed(offsets(shard_of, counts)).cast("long").alias("first"),
-    ).write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows = listed(spark, vslot=list(range(len(shard_of))), shard=shard_of, bytes=sizes, first=offsets(shard_of, counts))
+    rows.select(F.col("vslot").cast("int"), F.col("shard").cast("int"), "bytes", "first").write.mode("overwrite").parquet(f"{path}/version={version}")
     return spark.read.parquet(f"{path}/version={version}")
 
 

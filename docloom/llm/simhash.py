@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import spread_join
-from .common import table, text_of, written
+from .common import listed, table, text_of, written
 
 #: Words of a term.
 WIDTH = 5
@@ -89,9 +89,7 @@ def neighbour_windows(docs: DataFrame) -> DataFrame:
     part = F.least(F.lit(cuts - 1), F.floor((value.cast("double") - lows) * cuts / widths))
     bucket = (k.cast("long") * cuts + part).cast("long")
     heads = ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("m")).orderBy("b").collect()
-    ends = [(r.m, heads[(i + 1) % len(heads)].b) for i, r in enumerate(heads)]
-    spark = docs.sparkSession
-    ends = spark.createDataFrame(ends, "_head long, _to long")
+    ends = listed(docs.sparkSession, _head=[r.m for r in heads], _to=[heads[(i + 1) % len(heads)].b for i in range(len(heads))])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("_own", bucket)
     rows = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
     at = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_own").alias("_bucket"), F.lit(0).alias("_copy")))).otherwise(F.array(F.struct(F.col("_own").alias("_bucket"), F.lit(0).alias("_copy")), F.struct(F.col("_to").alias("_bucket"), F.lit(1).alias("_copy"))))
