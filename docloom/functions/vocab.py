@@ -26,6 +26,8 @@ NARROW_SUFFIXES = [".jpg", ".jpeg", ".png"]
 COLONS = "：:"
 NAME_EDGES = "：:，,。"
 SHEET_HEADINGS = ["原文件", "工程名称", "工程编号", "新文件名", "状态"]
+UNKNOWN_REASON, WAITING = "无法识别工程信息", "等待OCR"
+DONE_FOLDER, FAILED_FOLDER = "已重命名图片", "未识别"
 RESULT_SHEET, RENAME_SHEET = "处理结果", "重命名记录"
 
 #: What Python's str.strip removes, as a character class that Java and RE2 both read.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ranks import CHUNK_ROWS, ranked, spread_join
+from .ranks import CHUNK_ROWS, plain_unions, ranked, spread_join
 
 
 def planned(results: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def deduplicated(rows: DataFrame, existing: DataFrame | None = None, whole: bool
     in order, streamed batch by batch; there a task holds the family's distinct names.
     `existing` has a column filename; `whole` takes names as they are, without an extension.
     """
+    plain_unions(rows.sparkSession)
     ext = F.lit("") if whole else t.suffix(F.col("filename"))
     named = rows.select("seq", "filename").withColumn("ext", ext)
     named = named.withColumn("stem", F.substring("filename", F.lit(1), F.length("filename") - F.length("ext")))

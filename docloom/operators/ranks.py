@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a ranking task is meant to hold at a time, and pieces whose totals are summed up at a time.
 CHUNK_ROWS = 1024
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let unions claim no partitioning of their own.
+
+    Spark 4.1 takes a union to be dealt by a key if both sides are. When adaptive execution has since turned a
+    side's join into a broadcast one, that no longer holds, yet the exchange above the union is left out: rows
+    of one key end up in several tasks. Callers that deal out a union by a key turn the claim off first.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ranked(df: DataFrame, key: str, chunk: Column, order: list[Column], out: str, size: Column | None = None) -> DataFrame:
     """Rank from 0 of each row within its key, or with `size` the sum of sizes before it, without one task per key.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -22,7 +22,7 @@ def result_sheet(results: DataFrame, file_too: bool = True) -> DataFrame:
     return results.select("seq", *[c.alias(h) for c, h in zip(cells, v.SHEET_HEADINGS, strict=True)])
 
 
-def error_records(results: DataFrame, reason: str = "未识别") -> DataFrame:
+def error_records(results: DataFrame, reason: str = v.UNKNOWN_REASON) -> DataFrame:
     """file, reason of what didn't succeed."""
     bad = results.where(~F.col("status").eqNullSafe(F.lit("success")))
     return bad.select(F.coalesce("file", "source", F.lit("")).alias("file"), F.coalesce(F.nullif("message", F.lit("")), F.lit(reason)).alias("reason"))
@@ -30,4 +30,9 @@ def error_records(results: DataFrame, reason: str = "未识别") -> DataFrame:
 
 def waiting(files: DataFrame) -> DataFrame:
     """Every file with the status of the stubbed executor."""
-    return files.withColumn("status", F.lit("等待OCR"))
+    return files.withColumn("status", F.lit(v.WAITING))
+
+
+def error(file, reason) -> Column:
+    """An error record as a struct."""
+    return F.struct(t.some(file).alias("file"), t.some(reason).alias("reason"))

@@ -251,4 +251,4 @@ _FILE = f"concat({safe('project_name')}, {safe('project_code')})"
 SHEET = f"""{_FOUND}, u AS (SELECT doc_id, {_FILE} AS stem, row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id) AS k FROM s WHERE status = 'success')
 SELECT s.doc_id AS seq, concat('/in/', s.doc_id, '.jpg') AS source, project_name, project_code, coalesce(concat(u.stem, CASE WHEN k > 1 THEN concat('_', k) ELSE '' END, CASE WHEN u.stem IS NOT NULL THEN '.jpg' END), '') AS target, status
 FROM s LEFT JOIN u ON u.doc_id = s.doc_id"""
-ERRORS = f"""SELECT concat('/in/', doc_id, '.jpg') AS file, '未识别' AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {REPORT_NAME} END AS name FROM r) WHERE name = ''"""
+ERRORS = f"""SELECT concat('/in/', doc_id, '.jpg') AS file, '无法识别工程信息' AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {REPORT_NAME} END AS name FROM r) WHERE name = ''"""

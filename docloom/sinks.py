@@ -58,8 +58,8 @@ def write_texts(rows: DataFrame, path: str) -> None:
 
 
 def write_by_outcome(results: DataFrame, path: str) -> None:
-    """Results under outcome=renamed and outcome=unrecognised."""
-    outcome = F.when(F.col("status").eqNullSafe(F.lit("success")), "renamed").otherwise("unrecognised")
+    """Results under a folder of the renamed and one of the unrecognised."""
+    outcome = F.when(F.col("status").eqNullSafe(F.lit("success")), v.DONE_FOLDER).otherwise(v.FAILED_FOLDER)
     results.withColumn("outcome", outcome).write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 

@@ -57,6 +57,25 @@ def recognised(images: DataFrame, backend: Callable[[str, bytes], list[tuple]])
     return images.select("path", "content").mapInPandas(run, TOKENS + ", error string")
 
 
+class LineBackend:
+    """A backend out of an engine that knows lines of text but no places.
+
+    `load` makes the engine, once per worker and only when the first image comes; where it can't be
+    made, images have no lines. The engine gives the lines of an image's bytes.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[bytes], list[str]]]):
+        self.load, self.engine, self.failed = load, None, False
+
+    def __call__(self, path: str, content: bytes) -> list[tuple]:
+        if self.engine is None and not self.failed:
+            try:
+                self.engine = self.load()
+            except Exception:  # noqa: BLE001 - an engine that isn't there recognises nothing
+                self.failed = True
+        return [] if self.engine is None else [(line, "", 0, 0, 0, 0) for line in self.engine(content)]
+
+
 def from_table(images: DataFrame, tokens: DataFrame) -> DataFrame:
     """The default backend: tokens recognised elsewhere, looked up by path."""
     return images.select("path").join(tokens, "path", "left").withColumn("error", F.lit(""))

@@ -5,11 +5,12 @@ import os
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import environment, pipeline, sinks
-from docloom.sources import images, tokens
+from docloom import environment, pipeline, service, sinks
+from docloom.sources import images, preprocess, tokens
 from docloom.streaming import reports
 
 
@@ -111,7 +112,7 @@ def test_text_run_and_partitioned_sinks(spark, tmp_path):
     plan = pipeline.rename_plan(pipeline.from_texts(texts), "/out", spark.createDataFrame([("甲.jpg",)], "filename string"))
     assert {r.seq: r.target for r in plan.collect()} == {0: "/out/甲_2.jpg", 1: None}
     sinks.write_by_outcome(plan, f"{tmp_path}/r")
-    assert {r.outcome for r in spark.read.parquet(f"{tmp_path}/r").collect()} == {"renamed", "unrecognised"}
+    assert {r.outcome for r in spark.read.parquet(f"{tmp_path}/r").collect()} == {"已重命名图片", "未识别"}
     sinks.write_texts(texts.select(F.col("seq").cast("string").alias("stem"), "text"), f"{tmp_path}/t")
     assert spark.read.text(f"{tmp_path}/t/stem=0").collect()[0].value == "我方完成甲项目开工前"
 
@@ -140,3 +141,55 @@ def test_environment(tmp_path):
     put(f"{tmp_path}/file")
     found = environment.checked([f"{tmp_path}/file/below"], ["no-such-program"])
     assert not found["ok"] and len(found["errors"]) == 2
+
+
+def test_workflow_counts_all_that_was_loaded(spark, tmp_path):
+    put(f"{tmp_path}/a.zip", archive(iDOTjpg="无 1 1", jDOTpng="工程名称 1 1\n甲线 9 1"))
+    put(f"{tmp_path}/f/q.bmp", "x 1 1".encode())
+    w = service.Workflow(spark, "/out")
+    assert w.load(f"{tmp_path}/a.zip") == {"count": 2, "message": "已加载 2 张图片"} and w.add(f"{tmp_path}/f") == 3 == w.add(f"{tmp_path}/none")
+    assert {r.status for r in w.run().collect()} == {"等待OCR"}
+    assert sorted(r.target or "" for r in w.run(backend).collect()) == ["", "", "/out/甲线.png"]
+    assert w.finished() == "处理完成，输出目录：/out" and service.progress(spark)["percent"] == 0
+    w.clear()
+    assert w.files().count() == 0
+
+
+def test_line_engines_load_once_or_not_at_all(spark):
+    made = []
+    b = tokens.LineBackend(lambda: made.append(1) or (lambda content: content.decode().split(",")))
+    assert [t[0] for t in b("p", b"x,y") + b("q", b"z")] == ["x", "y", "z"] and made == [1]
+    assert tokens.LineBackend(lambda: 1 / 0)("p", b"x") == []
+    pages = spark.createDataFrame([("p", bytearray("工程名称,甲线,工程编号,A1".encode()))], "path string, content binary")
+    found = pipeline.from_images(pages.selectExpr("0L AS seq", "*"), tokens.LineBackend(lambda: lambda c: c.decode().split(","))).collect()[0]
+    assert (found.project_name, found.project_code, found.report_type) == ("甲线", "A1", "finish")
+
+
+def test_borders_and_headers(spark):
+    page = np.full((10, 8, 3), 7, np.uint8)
+    assert preprocess.border(page) == (0, 0, 8, 10)
+    page[3:5, 2] = 0
+    page[4, 6, 1] = 9
+    assert preprocess.border(page) == (2, 3, 7, 5) and preprocess.header(100, 99) == (0, 0, 100, 27)
+    bad = spark.createDataFrame([("p", bytearray(b"no image"))], "path string, content binary")
+    row = preprocess.applied(bad).collect()[0]
+    assert bytes(row.content) == b"no image" and row.error
+    assert preprocess.applied(bad, lambda c: c[::-1]).collect()[0].error == ""
+
+
+def test_prepared_images(spark):
+    image = pytest.importorskip("PIL.Image")
+    out = io.BytesIO()
+    page = np.full((50, 40, 3), 255, np.uint8)
+    page[10:30, 5:25] = 0
+    image.fromarray(page).save(out, "PNG")
+    assert image.open(io.BytesIO(preprocess.prepared(out.getvalue()))).size == (40, 40)
+    assert image.open(io.BytesIO(preprocess.strengthened(out.getvalue()))).size == (80, 100)
+    assert image.open(io.BytesIO(preprocess.cropped_header(out.getvalue()))).size == (40, 14)
+
+
+def test_log(tmp_path):
+    log = service.logger(f"{tmp_path}/app.log", "docloom-test")
+    assert service.logger("/nowhere", "docloom-test") is log
+    log.info("done")
+    assert "[INFO] docloom-test: done" in open(f"{tmp_path}/app.log").read()

@@ -87,6 +87,13 @@ def test_names_are_the_greedy_ones(spark, existing):
     assert found == greedy(names, existing) and len(set(found)) == len(found)
 
 
+def test_names_do_not_depend_on_how_unions_are_dealt(spark):
+    """A union that claims its sides' partitioning used to lose the exchange that brings a family together."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    rows, have = spark.createDataFrame([(0, "甲.jpg")], "seq long, filename string"), spark.createDataFrame([("甲.jpg",)], "filename string")
+    assert {naming.deduplicated(rows, have).collect()[0].target for _ in range(3)} == {"甲_2.jpg"}
+
+
 def test_names_without_extensions_and_none_at_all(spark):
     names = ["a.b", "a.b", "a.b_2", "a"]
     rows = spark.createDataFrame(list(enumerate(names)), "seq long, filename string")
@@ -107,4 +114,6 @@ def test_reports(spark):
     assert tuple(report.status_report(rows).collect()[0]) == (1, 2)
     assert [tuple(r) for r in report.result_sheet(rows).orderBy("seq").collect()] == [(0, "/a", "n", "c", "t", "success"), (1, "/b", "", "", "", "failed"), (2, "/c", "", "", "", "")]
     assert report.result_sheet(rows, file_too=False).where("seq = 1").collect()[0][1] == ""
-    assert {tuple(r) for r in report.error_records(rows).collect()} == {("/b", "未识别"), ("/c", "why")}
+    assert {tuple(r) for r in report.error_records(rows).collect()} == {("/b", "无法识别工程信息"), ("/c", "why")}
+    made = spark.range(1).select(report.error(F.lit(None).cast("string"), F.lit("r")).alias("e")).collect()[0].e
+    assert (made.file, made.reason) == ("", "r")
