@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranks import spread_join
+from ..operators.ranks import plain_unions, spread_join
 from .common import dropped, written
 
 #: Rounds after which something must be wrong: each at least halves the longest path.
@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     an order-free checksum of the edges stays the same. Joins spread a node of very many neighbours over
     several tasks.
     """
+    plain_unions(edges.sparkSession)
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = None
     for _ in range(MOST_ROUNDS):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranks import spread_join
+from ..operators.ranks import plain_unions, spread_join
 from .common import dropped, fresh, small_batches, table, written
 from .graph import components
 from .shingles import Shingler
@@ -249,6 +249,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rest, about as many as there are ids, is shuffled for the exact join.
     """
     small_batches(docs.sparkSession)
+    plain_unions(docs.sparkSession)
     own = fresh(docs, "_id")
     maybe = passing(docs, ids, True)
     return passing(docs, ids, False).union(maybe.join(ids.withColumnRenamed("id", own), F.col("doc_id") == F.col(own), "left_anti"))
