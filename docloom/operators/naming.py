@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ranks import CHUNK_ROWS, plain_unions, ranked, spread_join
+from .ranks import CHUNK_ROWS, plain_unions, ranked, shared, spread_join
 
 
 def planned(results: DataFrame) -> DataFrame:
@@ -28,9 +28,10 @@ def deduplicated(rows: DataFrame, existing: DataFrame | None = None, whole: bool
     """
     plain_unions(rows.sparkSession)
     ext = F.lit("") if whole else t.suffix(F.col("filename"))
-    named = rows.select("seq", "filename").withColumn("ext", ext)
+    named = rows.select("seq", t.some("filename").alias("filename")).withColumn("ext", ext)
     named = named.withColumn("stem", F.substring("filename", F.lit(1), F.length("filename") - F.length("ext")))
     named = named.withColumn("family", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), F.lit("/"), "ext"))
+    named = shared(named, "seq")
     families = named.groupBy("family").agg((F.min("filename") == F.max("filename")).alias("single"))
     if existing is not None:
         has = existing.select("filename").withColumn("ext", ext)

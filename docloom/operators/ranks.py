@@ -40,6 +40,15 @@ def ranked(df: DataFrame, key: str, chunk: Column, order: list[Column], out: str
     return joined.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_chunk", "_size", "_in", "_ok", "_oc", "_off")
 
 
+def shared(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows behind one exchange, which all branches of a plan that use them share.
+
+    Rows travel as one struct, so that branches that need fewer columns don't get exchanges of their own.
+    """
+    packed = df.select(F.struct(*df.columns).alias("_row"))
+    return packed.repartition(*[F.col(f"_row.{k}") for k in keys]).select("_row.*")
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, left: str, right: str, by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """Join rows with a table of one row per key where one key may hold a large share of the rows.
 
