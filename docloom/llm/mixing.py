@@ -1,36 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equal bytes in an order drawn from a hash of the ids. A source with q
-of every P slots gives its block i (from 0) the release time floor(i P / q) and the deadline
-ceil((i + 1) P / q); in each slot the released block of earliest deadline goes. On one resource that
-keeps every source's count within less than one block of its share at any time. Weights are held as
-whole slots per period, so the schedule repeats with the period and only one period is computed, on
-the driver: block i goes to slot (i // q) P + slot_in_period(i % q). A source that runs out leaves its
-slots empty and the others keep their shares of each other, so that every row gets its place.
+Each source is cut into blocks of equal bytes in an order drawn from a hash of the ids. A source of
+weight w (of all weights' sum, exact fractions) gives its block i (from 0) the release time floor(i / w)
+and the deadline ceil((i + 1) / w); in each slot the released block of earliest deadline goes. On one
+resource that keeps every source's count within less than one block of its share at any time, however
+many sources there are and however small a weight is. A source that runs out leaves the mix; the blocks
+of the others still go between their release and deadline, so slots may stay empty, and every row gets
+its place. Sources of weight 0 have no share: they come after all others, evenly among themselves.
+
+The schedule needs one entry per source at a time. One task makes it as a stream, an entry per block
+(never per row), into a table that the rows are joined with.
 
 Defined results: a null source is a source of its own; null and empty texts have one byte; a text longer
 than a block takes as many of its source's blocks as it fills; repeated rows get places of their own;
-an empty table gives an empty result. The rows' own columns are
-carried in a struct, so no name clashes.
+an empty table gives an empty result; negative or infinite weights and slots beyond 63 bits raise. The
+rows' own columns are carried in a struct, so no name clashes.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ranked, table
+from ..operators.ranks import spread_join
+from .common import CHUNK_ROWS, ranked, table, written
 
 #: Bytes of a block.
 BLOCK_BYTES = 64 << 10
-#: Slots of a period at least; more sources make it longer.
-PERIOD = 1000
-#: The driver holds a row per source; more are refused.
-MOST_SOURCES = 5000
+#: Tables of so many sources or blocks at most are broadcast; larger ones are joined by a shuffle.
+FEW_SOURCES, FEW_BLOCKS = 5000, 1 << 18
 #: Without given weights, a source's weight is its bytes to this power.
 TEMPER = 0.5
+#: Blocks that the schedule hands over at a time.
+BATCH_BLOCKS = 1 << 15
 
 
 def whole_slots(weights: list[float], period: int) -> list[int]:
@@ -43,20 +51,71 @@ def whole_slots(weights: list[float], period: int) -> list[int]:
     return [s + 1 for s in slots]
 
 
+def turns(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(slot, source, block, release, deadline) of every block by slot: earliest deadline first among released blocks.
+
+    A source's next block only comes in when the one before has gone: it is released at the earliest in
+    the last slot before that one's deadline, and its own deadline is later.
+    """
+    total = sum(weights)
+    waiting, ready = [(0, s) for s, n in enumerate(blocks) if n], []
+    done, t = [0] * len(blocks), 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s, release))
+        deadline, s, release = heapq.heappop(ready)
+        yield t, s, done[s], release, deadline
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (done[s] * total // weights[s], s))
+        t += 1
+
+
 def schedule(slots: list[int]) -> list[int]:
-    """Which source goes in each slot of a period: earliest deadline first among released blocks."""
-    period = sum(slots)
-    releases: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, q in enumerate(slots):
-        for i in range(q):
-            releases[i * period // q].append((-(-(i + 1) * period // q), s))
-    ready: list[tuple[int, int]] = []
-    out = []
-    for t in range(period):
-        for x in releases[t]:
-            heapq.heappush(ready, x)
-        out.append(heapq.heappop(ready)[1])
-    return out
+    """Which source goes in each slot of a period, given how many slots each one has in it."""
+    return [s for _, s, *_ in turns(slots, slots)]
+
+
+def in_turn(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """:func:`turns` by the exact values of the weights; sources of weight 0 begin when the others have ended."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[w.denominator for w in exact])
+    whole, start = [int(w * scale) for w in exact], 0
+    for part in ([s for s, w in enumerate(whole) if w], [s for s, w in enumerate(whole) if not w]):
+        first = start
+        for t, k, i, release, deadline in turns([whole[s] or 1 for s in part], [blocks[s] for s in part]):
+            yield first + t, part[k], i, first + release, first + deadline
+            start = first + t + 1
+
+
+def timetable(stats: DataFrame, weights: dict[str | None, float] | None, block_bytes: int) -> DataFrame:
+    """_s, _b (a source's block), _slot, _release and _deadline, from the rows (_source, n, b) of all sources."""
+    names = ["_s", "_b", "_slot", "_release", "_deadline"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column("_source").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        if weights is None:
+            target = [b**TEMPER for _, b in rows]
+        else:
+            target = [float(weights.get(None if s == "null" else s[1:], 0.0)) for s, _ in rows]
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([rows[s][0] for s in columns[1]], pa.string()), *[pa.array(columns[k], pa.int64()) for k in (2, 0, 3, 4)]], names=names)
+
+        for turn in in_turn(target, [-(-b // block_bytes) for _, b in rows]):
+            out.append(turn)
+            if len(out) == BATCH_BLOCKS:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return stats.repartition(1).sortWithinPartitions("_source").mapInArrow(made, "_s string, _b long, _slot long, _release long, _deadline long")
 
 
 def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
@@ -64,7 +123,6 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
 
     Ordering by _slot and _at gives the mixed sequence.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.struct(*(carry or ["*"])).alias("_row"),
         F.col("doc_id").alias("_id"),
@@ -72,31 +130,23 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"),
         F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long").alias("_size"),
     )
-    stats = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).orderBy("_source").limit(MOST_SOURCES + 1).collect()
-    if len(stats) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if weights is None:
-        target = [r.b**TEMPER for r in stats]
+    if weights is not None and not all(0 <= w < math.inf for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    stats = written(rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")), "sources")
+    blocks = written(timetable(stats, weights, block_bytes), "timetable")
+    per_source = stats.select(F.col("_source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK_ROWS)).alias("_pieces"))
+    rows = rows.withColumnRenamed("_size", "_bytes")
+    if stats.count() <= FEW_SOURCES:
+        rows = rows.join(F.broadcast(per_source), F.col("_source") == F.col("_s")).drop("_s")
     else:
-        target = [float(weights.get(None if r._source == "null" else r._source[1:], 0.0)) for r in stats]
-    period = max(PERIOD, 4 * len(stats))
-    q = whole_slots(target, period) if stats else []
-    seen = [0] * len(stats)
-    turns = []
-    for t, s in enumerate(schedule(q)):
-        turns.append((stats[s]._source, seen[s], t))
-        seen[s] += 1
-    per_source = spark.createDataFrame([(r._source, n, pieces(r.n)) for r, n in zip(stats, q, strict=True)], "_s string, _q long, _pieces long")
-    turn = spark.createDataFrame(turns, "_s string, _turn long, _t long")
-    rows = rows.join(F.broadcast(per_source), F.col("_source") == F.col("_s")).drop("_s").withColumnRenamed("_size", "_bytes")
+        rows = spread_join(rows, per_source, "_source", "_s", ["_id", "_tie"])
     chunk = F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_pieces"))
     order: list[Column] = [F.xxhash64("_id", F.lit(4)), F.col("_id"), F.col("_tie")]
     rows = ranked(rows, "_source", chunk, order, "_at", F.col("_bytes")).withColumnRenamed("_bytes", "_size")
     rows = rows.withColumn("_block", F.floor(F.col("_at") / block_bytes))
-    rows = rows.join(F.broadcast(turn), (F.col("_source") == F.col("_s")) & (F.col("_block") % F.col("_q") == F.col("_turn")))
-    rows = rows.withColumn("_slot", F.floor(F.col("_block") / F.col("_q")) * period + F.col("_t"))
-    rows = rows.withColumn("_release", F.floor(F.col("_block") * period / F.col("_q"))).withColumn("_deadline", F.ceil((F.col("_block") + 1) * period / F.col("_q")))
-    return rows.drop("_s", "_turn", "_t", "_q", "_pieces", "_id", "_tie")
+    few = blocks.count() <= FEW_BLOCKS
+    rows = rows.join(F.broadcast(blocks) if few else blocks, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    return rows.drop("_s", "_b", "_pieces", "_id", "_tie")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -52,6 +52,32 @@ def test_whole_blocks_deviate_by_less_than_one(spark):
         assert all(abs(count[s] - w * t) < 1.05 for s, w in (("=s0", 0.5), ("=s1", 0.3), ("=s2", 0.2)))
 
 
+def test_shares_are_exact_for_hundreds_of_sources(spark):
+    """A source of a third among 300, and one of weight 0: shares follow the weights themselves, over many slots."""
+    weights = {f"s{i}": 299.0 if i == 0 else 2.0 for i in range(300)}
+    rows = [(i * 1000 + k, "x" * 10, "en", f"s{i}", 1) for i in range(300) for k in range(400 if i == 0 else 3)] + [(-1, "x", "en", "zero", 1)]
+    found = sorted((r._slot, r._source) for r in mixing.placed(spark.createDataFrame(rows, DOCS), weights, block_bytes=10).collect())
+    total, count = sum(weights.values()), {}
+    for t, (slot, source) in enumerate(found[:1197], 1):  # as long as the hot source lasts
+        assert slot == t - 1
+        count[source] = count.get(source, 0) + 1
+        assert all(abs(count.get(f"={s}", 0) - w * t / total) < 1 for s, w in weights.items())
+    assert found[-1][1] == "=zero" and len(found) == len(rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.floats(0.001, 100), min_size=2, max_size=8))
+def test_lag_is_below_one_for_any_weights(weights):
+    from fractions import Fraction
+
+    exact = [Fraction(w) for w in weights]
+    count = [0] * len(exact)
+    for t, (slot, s, i, release, deadline) in zip(range(1, 3000), mixing.in_turn(weights, [10**6] * len(exact))):
+        assert slot == t - 1 and release <= slot < deadline and i == count[s]
+        count[s] += 1
+        assert all(abs(n - w * t / sum(exact)) < 1 for n, w in zip(count, exact, strict=True)) if t < 300 or t % 97 == 0 else True
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 50), min_size=1, max_size=9), st.integers(1, 4))
 def test_boundaries_minimise_padding(histogram, buckets):
