@@ -1,19 +1,21 @@
 """Packing into optimal length buckets.
 
-A text's length is its number of words. Lengths are rounded up to steps of 8, or of a 64th of their
-power of two where that is more, which bounds the histogram by the logarithm of the longest text. From
-the global histogram of all rows, dynamic programming picks the bucket boundaries that minimise padding
-to the bucket's boundary. Inside each bucket, batches take as many rows as the token budget allows at
-the padded length, at least one. Rows are numbered within their bucket in pieces, so that a bucket of
-any size spreads over tasks.
-
-Defined results: null and blank texts have length 0 and go to the first bucket; fewer distinct lengths
-than buckets give fewer buckets; a text beyond the budget is a batch of its own; repeated rows are
-packed each; an empty table gives an empty result. Extra columns don't matter.
+A text's length is its number of words. From the global histogram of exact lengths, dynamic programming
+picks the bucket boundaries that minimise padding to the bucket's boundary. The histogram has a row per
+distinct length, at most about the square root of twice the number of all words. Inside each bucket,
+batches take as many rows as the token budget allows at the padded length, at least one. Rows are
+numbered within their bucket in pieces, so that a bucket of any size spreads over tasks.
+
+Defined results: null and blank texts have length 0 and go to the first bucket, and count a token each
+for the budget if that is padded to 0; fewer distinct lengths than buckets give fewer buckets; a text
+beyond the budget is a batch of its own; repeated rows are packed each; an empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +32,41 @@ def length_of() -> Column:
     return F.regexp_count(text_of(), F.lit(r"\S+")).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """The least padded length that the histogram knows: see the module's text."""
-    step = F.expr("shiftleft(1L, greatest(3, length(bin(n_tokens)) - 7))")
-    return F.greatest(F.ceil(n / step) * step, step).cast("long")
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """The padded lengths, out of `lengths` (rising), that minimise the padding of all rows together."""
-    u, c = np.array(lengths, float), np.cumsum([0, *counts]).astype(float)
+    """The padded lengths, out of `lengths` (rising), that minimise the padding of all rows together.
+
+    A layer of the programme takes, for each length, the least of lines whose slopes fall from one length
+    to the next while the lengths rise, so that each line is looked at about once: all in whole numbers.
+    """
     m = len(lengths)
     if m <= buckets:
         return list(lengths)
-    cost = np.where(np.arange(m + 1)[:, None] < np.arange(1, m + 1)[None], u[None] * (c[1:][None] - c[:, None]), np.inf)  # [i, j]: rows of lengths i..j padded to lengths[j]
-    best, back = np.concatenate([[0.0], np.full(m, np.inf)]), []
+    before = [0, *accumulate(counts)]
+    best: list[int | None] = [0, *[None] * m]  # least padded total of the first i lengths
+    back = []
     for _ in range(buckets):
-        total = best[:, None] + cost
-        back.append(total.argmin(0))
-        best = np.concatenate([[np.inf], total.min(0)])
+        total: list[int | None] = [None] * (m + 1)
+        froms, lines, at = np.zeros(m, np.int32), [], 0
+        for j, x in enumerate(lengths):
+            if best[j] is not None:
+                slope, rise = -before[j], best[j]
+                while len(lines) - at >= 2:
+                    (s1, r1, _), (s2, r2, _) = lines[-2:]
+                    if (r2 - r1) * (s1 - slope) < (rise - r1) * (s1 - s2):
+                        break
+                    lines.pop()
+                lines.append((slope, rise, j))
+            while len(lines) - at >= 2 and lines[at + 1][0] * x + lines[at + 1][1] <= lines[at][0] * x + lines[at][1]:
+                at += 1
+            if len(lines) > at:
+                total[j + 1] = lines[at][0] * x + lines[at][1] + x * before[j + 1]
+                froms[j] = lines[at][2]
+        best = total
+        back.append(froms)
     out, j = [], m - 1
-    for k in reversed(range(buckets)):
+    for froms in reversed(back):
         out.append(lengths[j])
-        j = int(back[k][j]) - 1
+        j = int(froms[j]) - 1
         if j < 0:
             break
     return out[::-1]
@@ -65,17 +80,19 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, chunk:
     """
     spark = docs.sparkSession
     extra = {} if order is None else {"_chunk0": chunk, **{f"_o{i}": c for i, c in enumerate(order)}}
-    rows = docs.select("doc_id", length_of().alias("n_tokens"), *[c.alias(n) for n, c in extra.items()]).withColumn("_length", rounded(F.col("n_tokens")))
-    histogram = sorted((r._length, r.n) for r in rows.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect())
-    edges = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
-    table_, first, below = [], 0, 0
+    rows = docs.select("doc_id", length_of().alias("n_tokens"), *[c.alias(n) for n, c in extra.items()])
+    found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    lengths, counts = found["n_tokens"].to_pylist(), found["n"].to_pylist()
+    edges = boundaries(lengths, counts, buckets)
+    upto = [0, *accumulate(counts)]
+    table_, below, first = [], -1, 0
     for b, edge in enumerate(edges):
-        n = sum(k for x, k in histogram if below < x <= edge)
-        each = max(1, budget // edge)
+        n = upto[bisect_right(lengths, edge)] - upto[bisect_right(lengths, below)]
+        each = max(1, budget // max(1, edge))
         table_.append((b, below, edge, each, first, pieces(n)))
         first, below = first + -(-n // each), edge
     found = spark.createDataFrame(table_, "bucket int, _low long, bucket_length long, _each long, _first long, _pieces long")
-    rows = rows.join(F.broadcast(found), (F.col("_length") > F.col("_low")) & (F.col("_length") <= F.col("bucket_length")))
+    rows = rows.join(F.broadcast(found), (F.col("n_tokens") > F.col("_low")) & (F.col("n_tokens") <= F.col("bucket_length")))
     if order is None:
         rows = ranked(rows, "bucket", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_pieces")), [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id"), F.col("n_tokens")], "_rank")
     else:

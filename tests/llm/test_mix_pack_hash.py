@@ -92,6 +92,32 @@ def test_boundaries_minimise_padding(histogram, buckets):
     assert len(edges) <= buckets and edges == sorted(edges) and padding(edges) == best
 
 
+@pytest.mark.parametrize("sizes", [range(1, 9), [0, 0, 1, 2, 3, 9, 9, 9, 10, 17, 1100, 1101, 1130], [5]], ids=["to 8", "wide", "one"])
+def test_packed_rows_have_the_least_padding(spark, sizes):
+    """The padding of all packed rows together, against every choice of boundaries."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "en", "a", 1) for i, n in enumerate(sizes)], DOCS)
+    lengths = sorted(set(sizes))
+    for buckets in (4, 16):
+        best = min(sum(min(e for e in (*c, lengths[-1]) if e >= x) - x for x in sizes) for k in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], k))
+        found = packing.packed(docs, buckets=buckets).collect()
+        assert sum(r.padding for r in found) == best and all(r.padding == r.bucket_length - r.n_tokens >= 0 for r in found)
+        assert len({r.bucket for r in found}) <= buckets
+
+
+def test_boundaries_of_very_many_lengths():
+    r = random.Random(4)
+    lengths = sorted(r.sample(range(1, 200000), 300))
+    counts = [r.randrange(1, 10**9) for _ in lengths]
+    u, c = lengths, [0, *itertools.accumulate(counts)]
+    best = [0] + [float("inf")] * 300
+    for _ in range(16):
+        best = [float("inf")] + [min(best[i] + u[j] * (c[j + 1] - c[i]) for i in range(j + 1)) for j in range(300)]
+    edges = packing.boundaries(lengths, counts)
+    assert sum(n * min(e for e in edges if e >= x) for x, n in zip(lengths, counts, strict=True)) == best[300]
+    many_ = packing.boundaries(list(range(30000)), [1] * 30000)
+    assert len(many_) == 16 and many_[-1] == 29999
+
+
 @pytest.mark.parametrize("rows", [awkward(), many(), []], ids=["awkward", "many", "empty"])
 def test_batches_keep_the_budget(spark, rows):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", bucket int, batch int")
