@@ -1,11 +1,14 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
 A record's virtual slot is a hash of its id and never changes. Bytes are summed up per slot, and a
-versioned table maps slots to shards. Rebalancing writes a new version that moves as few slots as the
-balance needs; records never move between slots.
+versioned table maps slots to shards. Where there is none yet, version 1 is made from scratch; else the
+latest version is edited for the rows' totals and the number of shards, which moves only the slots that
+the balance needs, and written as the next one. Records never move between slots.
 
 Defined results: a null text has 0 bytes (size 16); a null id hashes as an id of its own; equal rows
-fall into the same slot and get positions of their own; an empty table gives an empty result. Extra
+fall into the same slot and get positions of their own; an empty table gives an empty result; a stored
+map of another number of slots raises. A version counts once it is written whole. Two runs that edit
+one map at a time aren't kept apart. Extra
 columns don't matter: only id and text are read.
 """
 
@@ -54,13 +57,23 @@ def assign(sizes: list[int], shards: int) -> list[int]:
 
 
 def rebalance(sizes: list[int], was: list[int], shards: int, tolerance: float = 0.01) -> list[int]:
-    """The next version: slots move only from shards above the mean, never to below it, and to the least loaded, until all are within tolerance."""
+    """The next version: slots of shards that are gone go to the least loaded; others move only from shards above the mean, never to below it, and to the least loaded, until all are within tolerance."""
     now = list(was)
     load = [0] * shards
     held: list[list[int]] = [[] for _ in range(shards)]
+    gone = sorted((slot for slot, shard in enumerate(now) if shard >= shards), key=lambda i: (-sizes[i], i))
     for slot, shard in enumerate(now):
+        if shard < shards:
+            load[shard] += sizes[slot]
+            held[shard].append(slot)
+    heap = [(n, shard) for shard, n in enumerate(load)]
+    heapq.heapify(heap)
+    for slot in gone:
+        _, shard = heapq.heappop(heap)
+        now[slot] = shard
         load[shard] += sizes[slot]
         held[shard].append(slot)
+        heapq.heappush(heap, (load[shard], shard))
     mean = sum(sizes) / shards
     for shard in sorted(range(shards), key=lambda s: -load[s]):
         for slot in sorted(held[shard], key=lambda i: (-sizes[i], i)):
@@ -81,6 +94,21 @@ def stored(spark: SparkSession, path: str, version: int, shard_of: list[int], si
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def latest(spark: SparkSession, path: str) -> int:
+    """The last version of the slot map that was written whole, 0 if there is none."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(base)
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or []), default=0)
+
+
+def shards_of(spark: SparkSession, path: str, version: int, slots: int) -> list[int]:
+    """A stored version of the map: the shard of each slot."""
+    rows = {r.vslot: r.shard for r in spark.read.parquet(f"{path}/version={version}").select("vslot", "shard").collect()}
+    if sorted(rows) != list(range(slots)):
+        raise ValueError(f"the slot map of {path} hasn't {slots} slots")
+    return [rows[i] for i in range(slots)]
+
+
 def offsets(shard_of: list[int], counts: list[int]) -> list[int]:
     """Where each slot's rows begin within their shard."""
     filled: dict[int, int] = {}
@@ -92,21 +120,24 @@ def offsets(shard_of: list[int], counts: list[int]) -> list[int]:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """Every row with its virtual slot, shard and gapless position within the shard.
+    """Every row with its virtual slot, shard, gapless position within the shard and the map's version.
 
-    Only ids, sizes and checksums are shuffled, by virtual slot; the map has one row per slot, so
-    broadcasting it is bounded by the parameter.
+    With `path`, the map there is edited for these rows and shards, and its next version applied; without,
+    the map is new. Only ids, sizes and checksums are shuffled, by virtual slot; the map has one row per
+    slot, so broadcasting it is bounded by the parameter.
     """
     spark = docs.sparkSession
     rows = slotted(docs, slots)
     counts, sizes = slot_totals(rows, slots)
-    mapped = stored(spark, path or scratch(spark, "slot-map"), 1, assign(sizes, shards), sizes, counts)
+    was = latest(spark, path) if path else 0
+    shard_of = rebalance(sizes, shards_of(spark, path, was, slots), shards) if was else assign(sizes, shards)
+    mapped = stored(spark, path or scratch(spark, "slot-map"), was + 1, shard_of, sizes, counts)
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     out = rows.withColumn("_in", place).join(F.broadcast(mapped), "vslot")
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("_in")).cast("long").alias("slot"), "vslot")
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("_in")).cast("long").alias("slot"), "vslot", F.lit(was + 1).alias("map_version"))
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes."""
     out = shard(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(1).alias("map_version"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")

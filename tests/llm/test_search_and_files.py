@@ -111,3 +111,25 @@ def test_shards_are_near_equal_and_rebalance_moves_little():
     moved = [i for i in range(8192) if one[i] != two[i]]
     assert {two[i] for i in moved} == {40} and np.bincount(two, sizes, 41).max() <= 1.02 * sum(sizes) / 41
     assert sum(sizes[i] for i in moved) <= 1.05 * sum(sizes) / 41
+
+
+def test_a_stored_map_is_edited_and_applied(spark, tmp_path):
+    """More rows and a shard more, then fewer shards: each run edits the version before it and keeps that one."""
+    rows = [(i, "x" * (i % 90), "", "", 0) for i in range(4000)]
+    path, seen = f"{tmp_path}/map", []
+    for version, (n, shards) in enumerate([(3000, 4), (4000, 5), (4000, 3)], 1):
+        docs = spark.createDataFrame(rows[:n], DOCS)
+        found = sharding.shard(docs, shards=shards, slots=256, path=path).collect()
+        assert len(found) == n and {r.map_version for r in found} == {version}
+        load = np.bincount([r.shard for r in found], [r.size for r in found], shards)
+        assert len(load) == shards and load.max() <= 1.1 * load.sum() / shards
+        for s in range(shards):
+            assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+        kept = sharding.shards_of(spark, path, version, 256)
+        assert all(r.shard == kept[r.vslot] for r in found)
+        seen.append(kept)
+    assert sharding.latest(spark, path) == 3 and [sharding.shards_of(spark, path, v, 256) for v in (1, 2, 3)] == seen
+    assert sum(a != b for a, b in zip(seen[0], seen[1], strict=True)) <= 256 * 0.3
+    assert all(a == b for a, b in zip(seen[1], seen[2], strict=True) if a < 3 and b < 3) and sum(a != b for a, b in zip(seen[1], seen[2], strict=True)) <= 256 * 0.5
+    with pytest.raises(ValueError):
+        sharding.shard(spark.createDataFrame(rows, DOCS), shards=3, slots=128, path=path)
