@@ -3,18 +3,19 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 `docs`. Decisions: the quality classifier drops what it predicts as label 0; language ID drops what has
 no letter or no clear language; of each group of near duplicates (five-word shingles, Jaccard 0.8) the
-row of least id stays; mixing puts rows into the order of the Pfair schedule, which the written files
+row of least id stays (null ids after all others, ties by a hash of the text); mixing puts rows into the order of the Pfair schedule, which the written files
 keep; packing forms batches in that order. Nulls, empty texts and repeated rows are handled as each
-operator's text says; rows of one id count as one document for deduplication.
+operator's text says; deduplication decides by row, so ids may repeat or be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, language, mixing, packing, quality
 from docloom.llm.common import fresh, table, written
+from docloom.operators.ranks import spread_join
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the least id."""
-    found = written(jaccard.join(docs).select(F.col("doc_id").alias("id"), "component_id"), "components")
-    kept = jaccard.without(docs, found.where("component_id <> id").select("id").distinct())
-    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
-        place = fresh(docs, "_place")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        own = kept.where("doc_id IS NOT NULL").withColumn(place, first).where(F.col(place) == 1).drop(place)
-        kept = own.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """One row of each component stays: that of the least id. Rows are told apart by a key of their own, written down first."""
+    own, tie = fresh(docs, "_own"), fresh(docs, "_tie")
+    keyed = docs.withColumn(own, F.col("doc_id")).withColumn(tie, F.xxhash64("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    keyed = written(keyed, "keyed")
+    found = jaccard.join(keyed).select(F.col("doc_id").alias("_k"), "component_id")
+    ids = keyed.select("doc_id", F.struct(F.col(own).isNull().alias("a"), F.col(own).alias("b"), F.col(tie).alias("c"), F.col("doc_id").alias("d")).alias("_o"))
+    found = written(found.join(ids, F.col("_k") == F.col("doc_id")).select("component_id", "_o"), "components")
+    groups = found.groupBy(F.col("component_id").alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_first")).where("n > 1").select("_c", F.col("_first.d").alias("_first"))
+    copies = spread_join(found.select("component_id", F.col("_o.d").alias("id")), groups, "component_id", "_c", ["id"]).where("id <> _first").select("id")
+    return jaccard.without(keyed, copies).withColumn("doc_id", F.col(own)).drop(own, tie)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,6 +224,20 @@ def test_pipeline_keeps_what_it_should(spark, tiny, tmp_path):
     assert final == set(rows[5])
 
 
+def test_near_duplicates_are_told_by_row(spark):
+    """Repeated ids with texts of their own, copies under other ids and under none."""
+    import corpus_pipeline as cp
+
+    a, b, c, d = (words(60, 50 + i) for i in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (5, c), (None, c), (None, d), (None, d + " more"), (7, ""), (7, None), (2, "x"), (2, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    found = cp.ngram_jaccard_join(spark, docs, "")
+    assert found.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in found.collect()]
+    assert sorted(map(repr, [x for x in got if x[0] is not None])) == sorted(map(repr, [(1, a), (5, b), (5, c), (7, ""), (7, None), (2, "x")]))
+    assert len(got) == 7 and [x for x in got if x[0] is None][0][1] in (d, d + " more")
+
+
 def test_pipeline_of_an_empty_and_an_awkward_table(spark, tmp_path):
     import corpus_pipeline as cp
 
