@@ -78,6 +78,16 @@ def test_lag_is_below_one_for_any_weights(weights):
         assert all(abs(n - w * t / sum(exact)) < 1 for n, w in zip(count, exact, strict=True)) if t < 300 or t % 97 == 0 else True
 
 
+def test_many_sources_and_blocks_by_shuffle(spark, monkeypatch):
+    rows = [(i, "x" * (1 + i % 50), "en", f"s{i % 70}", 1) for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda r: (r._row.doc_id, r._slot, r._at, r._release, r._deadline)
+    want = sorted(key(r) for r in mixing.placed(docs, block_bytes=40).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    monkeypatch.setattr(mixing, "FEW_BLOCKS", 10)
+    assert sorted(key(r) for r in mixing.placed(docs, block_bytes=40).collect()) == want and len(want) == 700
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 50), min_size=1, max_size=9), st.integers(1, 4))
 def test_boundaries_minimise_padding(histogram, buckets):
