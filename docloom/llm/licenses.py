@@ -1,20 +1,23 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text is cut into overlapping blocks of words; a template is the set of its words. A block meets a
-template if it holds at least the threshold's share of the template's words. Words are ordered by how
-many documents of the whole corpus hold them, rarest first, and three filters leave few blocks to
-verify: a match must share one of the template's first words in that order (prefix), the block must
-hold enough template words at all (length), and what follows the shared word on either side must
-suffice (positional). Template words are few, so the order and the index over template prefixes are
-bounded by the templates, whatever the corpus.
-
-A template whose words are all among those of another that the same block meets gives way to it.
+A text is cut into overlapping blocks of words; a template is the set of its words. Blocks have a width
+that follows the template's length: the least of BLOCK, 2 BLOCK, 4 BLOCK, ... whose half, the step from
+one block to the next, the template fits into, so that a template of any length lies whole in some
+block. A block meets a template if it holds at least the threshold's share of the template's words, and
+every such block is found, also where another template met there has all of those words. Words are
+ordered by how many documents of the whole corpus hold them, rarest first, and three filters leave few
+blocks to verify: a match must share one of the template's first words in that order (prefix), the
+block must hold enough template words at all (length), and what follows the shared word on either side
+must suffice (positional). Template words are few, so the order and the index over template prefixes
+are bounded by the templates, whatever the corpus.
 
 Phrases are templates of threshold 1 whose words must also stand consecutively in a block that holds
 them all; a place belongs to the one block in whose first half it starts.
 
 Defined results: null and empty texts have no words and no labels; a text shorter than a block is one
-block; repeated rows are scanned alike. Extra columns don't matter.
+block; a text of any length is scanned whole, block by block, in one row's memory; templates that tie
+are all given, in no order; repeated rows are scanned alike; an empty table gives an empty result.
+Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_of
 
-#: Words of a block and from one block's start to the next; a template is no longer than the overlap.
-BLOCK, STEP = 48, 24
+#: Words of the narrowest blocks; wider ones are powers of two of it. The next block starts at a block's half.
+BLOCK = 48
 THRESHOLD = 0.9
 
 # The phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Wording of common license notices, cut to sentences, and their labels.
+# Wording of common license notices, sentences and whole texts, and their labels.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -53,6 +56,32 @@ TEMPLATES = {
     "licensed under cc by sa 4 0": "cc-by-sa",
     "creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+    software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+    sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following
+    conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+    the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+    merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any
+    claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+    or the use or other dealings in the software""": "mit",
+    """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the
+    above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all
+    warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be
+    liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+    whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this
+    software""": "isc",
+    """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are
+    met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+    redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+    documentation and or other materials provided with the distribution""": "bsd",
+    """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain
+    a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software
+    distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see
+    the license for the specific language governing permissions and limitations under the license""": "apache-2",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by
+    the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope
+    that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+    see the gnu general public license for more details""": "gpl-3",
 }
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -78,13 +107,23 @@ class Template:
         """How many distinct words a block must share."""
         return math.ceil(self.threshold * len(set(self.words)) - 1e-9)
 
+    @property
+    def width(self) -> int:
+        """Words of the blocks that it is looked for in."""
+        return BLOCK << max(0, math.ceil(len(self.words) / (BLOCK // 2)) - 1).bit_length()
+
+
+def last_block(words: int, width: int) -> int:
+    """Number of the last block, from 0, of so many words."""
+    return max(0, math.ceil((words - width) / (width // 2)))
+
 
 def templates(threshold: float = THRESHOLD, texts: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> list[Template]:
-    """All templates; one longer than the blocks' overlap could fall between blocks and is refused."""
+    """All templates; one without words meets everything and is refused."""
     out = [Template(label, words_of(p), 1.0, True) for p, label in phrases.items()]
     out += [Template(label, words_of(t), threshold, False) for t, label in texts.items()]
-    if any(not 0 < len(t.words) <= BLOCK - STEP for t in out):
-        raise ValueError(f"a template must have 1 to {BLOCK - STEP} words")
+    if not all(t.words for t in out):
+        raise ValueError("a template must have words")
     return out
 
 
@@ -104,30 +143,31 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 
 class Index:
-    """Templates in the global order, findable by the words of their prefixes."""
+    """Templates in the global order, findable by their blocks' width and the words of their prefixes."""
 
     def __init__(self, all_templates: list[Template], counts: dict[bytes, int]):
-        self.vocabulary = frozenset(w for t in all_templates for w in t.words)
-        self.rank = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        vocabulary = {w for t in all_templates for w in t.words}
+        self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.templates = [Template(t.label, t.words, t.threshold, t.phrase, tuple(sorted(set(t.words), key=self.rank.get))) for t in all_templates]
-        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
+        self.widths = sorted({t.width for t in self.templates})
+        self.vocabulary = {width: frozenset(w for t in self.templates if t.width == width for w in t.words) for width in self.widths}
+        self.prefixes: dict[int, dict[bytes, list[tuple[int, int]]]] = {width: {} for width in self.widths}
         for k, t in enumerate(self.templates):
             for i, w in enumerate(t.ordered[: len(t.ordered) - t.least + 1]):
-                self.prefixes.setdefault(w, []).append((k, i))
-        self.heads = frozenset(self.prefixes)
+                self.prefixes[t.width].setdefault(w, []).append((k, i))
 
-    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(block, template, shared words) of every block that meets a template."""
-        if self.heads.isdisjoint(words):
+    def blocks(self, words: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
+        """(block, template, shared words) of every block of that width that meets one of its templates."""
+        heads, vocabulary = self.prefixes[width], self.vocabulary[width]
+        if heads.keys().isdisjoint(words):
             return
-        last = max(0, math.ceil((len(words) - BLOCK) / STEP))
-        begun = sorted({b for i, w in enumerate(words) if w in self.heads for b in range(max(0, (i - BLOCK) // STEP + 1), min(last, i // STEP) + 1)})
+        step, last = width // 2, last_block(len(words), width)
+        begun = sorted({b for i, w in enumerate(words) if w in heads for b in range(max(0, (i - width) // step + 1), min(last, i // step) + 1)})
         for b in begun:
-            held = sorted(self.vocabulary.intersection(words[b * STEP : b * STEP + BLOCK]), key=self.rank.get)
+            held = sorted(vocabulary.intersection(words[b * step : b * step + width]), key=self.rank.get)
             tried: set[int] = set()
-            met: list[tuple[int, int]] = []
             for j, w in enumerate(held):
-                for k, i in self.prefixes.get(w, ()):
+                for k, i in heads.get(w, ()):
                     t = self.templates[k]
                     if k in tried:
                         continue
@@ -135,25 +175,22 @@ class Index:
                     if len(held) < t.least or 1 + min(len(t.ordered) - i - 1, len(held) - j - 1) < t.least:
                         continue
                     if (shared := len(set(held).intersection(t.ordered))) >= t.least:
-                        met.append((k, shared))
-            for k, shared in met:
-                own = set(self.templates[k].ordered)
-                if self.templates[k].phrase or not any(own < set(self.templates[o].ordered) for o, _ in met if not self.templates[o].phrase):
-                    yield b, k, shared
+                        yield b, k, shared
 
     def scan(self, text: str | None) -> tuple[int, list[dict], list[dict]]:
         """Number of words, places of phrases, and blocks that meet templates."""
         words = words_of(text)
         places, blocks = [], []
-        last = max(0, math.ceil((len(words) - BLOCK) / STEP))
-        for b, k, shared in self.blocks(words):
-            t = self.templates[k]
-            if t.phrase:
-                n = len(t.words)
-                end = len(words) if b == last else (b + 1) * STEP
-                places += [{"label": t.label, "first_word": i, "words": n} for i in range(b * STEP, min(end, len(words) - n + 1)) if words[i : i + n] == t.words]
-            else:
-                blocks.append({"label": t.label, "template": b" ".join(t.words).decode(), "first_word": b * STEP, "words": min(BLOCK, len(words) - b * STEP), "containment": shared / len(t.ordered)})
+        for width in self.widths:
+            step, last = width // 2, last_block(len(words), width)
+            for b, k, shared in self.blocks(words, width):
+                t = self.templates[k]
+                if t.phrase:
+                    n = len(t.words)
+                    end = len(words) if b == last else (b + 1) * step
+                    places += [{"label": t.label, "first_word": i, "words": n} for i in range(b * step, min(end, len(words) - n + 1)) if words[i : i + n] == t.words]
+                else:
+                    blocks.append({"label": t.label, "template": b" ".join(t.words).decode(), "first_word": b * step, "words": min(width, len(words) - b * step), "containment": shared / len(t.ordered)})
         return len(words), places, blocks
 
 
@@ -197,15 +234,16 @@ def oracle() -> str:
     """DuckDB SQL that tries every block with every template and every place with every phrase."""
     listed = lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
     wanted = templates()
-    rows = ", ".join(f"('{t.label}', {listed(dict.fromkeys(t.words))}, {len(set(t.words))}, {t.least})" for t in wanted if not t.phrase)
+    rows = ", ".join(f"('{t.label}', {listed(dict.fromkeys(t.words))}, {len(set(t.words))}, {t.least}, {t.width})" for t in wanted if not t.phrase)
+    widths = ", ".join(f"({width})" for width in sorted({t.width for t in wanted if not t.phrase}))
     phrases = ", ".join(f"('{t.label}', {listed(t.words)}, {len(t.words)})" for t in wanted if t.phrase)
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-t AS (SELECT * FROM (VALUES {rows}) v(label, words, n, least)),
+t AS (SELECT * FROM (VALUES {rows}) v(label, words, n, least, width)),
 p AS (SELECT * FROM (VALUES {phrases}) v(label, words, n)),
-b AS (SELECT doc_id, k, list_distinct(w[k * {STEP} + 1 : k * {STEP} + {BLOCK}]) AS s FROM (SELECT doc_id, w, unnest(range(CAST(greatest(0, ceil((len(w) - {BLOCK}) / {STEP})) AS BIGINT) + 1)) AS k FROM w)),
-m AS (SELECT b.doc_id, b.k, t.*, len(list_intersect(b.s, t.words)) / t.n AS c FROM b JOIN t ON len(list_intersect(b.s, t.words)) >= t.least),
-f AS (SELECT doc_id, label, c FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.k = m.k AND o.n > m.n AND list_has_all(o.words, m.words))),
+z AS (SELECT * FROM (VALUES {widths}) v(width)),
+b AS (SELECT doc_id, width, list_distinct(w[k * (width // 2) + 1 : k * (width // 2) + width]) AS s FROM (SELECT doc_id, w, width, unnest(range(CAST(greatest(0, ceil((len(w) - width) / (width // 2))) AS BIGINT) + 1)) AS k FROM w, z)),
+f AS (SELECT b.doc_id, t.label, len(list_intersect(b.s, t.words)) / t.n AS c FROM b JOIN t ON b.width = t.width AND len(list_intersect(b.s, t.words)) >= t.least),
 i AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
 a AS (SELECT i.doc_id, p.label, i.i FROM i JOIN p ON i.w[i.i + 1 : i.i + p.n] = p.words),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM a GROUP BY doc_id),

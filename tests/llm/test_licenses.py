@@ -17,10 +17,13 @@ def brute(text, wanted):
     w = plain(text)
     places = sorted((t.label, i) for t in wanted if t.phrase for p in [[x.decode() for x in t.words]] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p)
     blocks = set()
-    for b in range(max(0, math.ceil((len(w) - li.BLOCK) / li.STEP)) + 1):
-        held = set(w[b * li.STEP : b * li.STEP + li.BLOCK])
-        met = [t for t in wanted if not t.phrase and len(held & {x.decode() for x in t.words}) >= t.least]
-        blocks |= {(b" ".join(t.words).decode(), b * li.STEP) for t in met if not any(set(t.words) < set(o.words) for o in met)}
+    for t in wanted:
+        width = 48
+        while width // 2 < len(t.words):
+            width *= 2
+        for at in range(0, (max(0, math.ceil((len(w) - width) / (width // 2))) + 1) * (width // 2), width // 2):
+            if not t.phrase and len(set(w[at : at + width]) & {x.decode() for x in t.words}) >= t.least:
+                blocks.add((b" ".join(t.words).decode(), at))
     return len(w), places, blocks
 
 
@@ -63,6 +66,23 @@ def test_awkward_tables(spark, rows, monkeypatch):
         assert (found[0].n_words, found[0].first_word, found[0].labels, found[0].score) == (0, None, "", 0.0)
 
 
-def test_templates_fit_blocks():
+def test_templates_of_any_length(spark):
+    """Whole license texts, cut anywhere, and templates up to 400 words; those without words are refused."""
+    notice = max(li.TEMPLATES, key=len)
+    long = {words(n, n, "abcdefghijklmnopqrstuvwxyz"): f"t{n}" for n in (24, 25, 48, 49, 100, 400)}
+    wanted = li.templates(0.8, long | {notice: "mit"})
+    assert [t.width for t in wanted if not t.phrase] == [48, 96, 96, 192, 384, 1536, 384]
+    rows = [(i, words(i * 37, i) + " " + t + " " + words(50, i)) for i, t in enumerate([*long, notice, notice.upper()])]
+    rows.append((99, " ".join([*long, notice] * 2)))
+    for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string"), wanted).collect():
+        n, places, blocks = brute(dict(rows)[r.doc_id], wanted)
+        assert {(b.template, b.first_word) for b in r.blocks} == blocks and len(blocks) >= 1
     with pytest.raises(ValueError):
-        li.templates(texts={" ".join("abcdefghijklmnopqrstuvwxyz"): "x"})
+        li.templates(texts={" !": "x"})
+
+
+def test_a_block_keeps_all_templates_it_meets():
+    """A dual notice has both labels though the words of one are among those of the other."""
+    index = li.Index(li.templates(), {})
+    found = index.scan("Under the GNU General Public License version 3 or the GNU Lesser General Public License version 3.")[2]
+    assert {b["label"] for b in found} >= {"gpl-3", "lgpl-3"}
