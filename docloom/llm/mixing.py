@@ -12,7 +12,8 @@ The schedule needs one entry per source at a time. One task makes it as a stream
 (never per row), into a table that the rows are joined with.
 
 Defined results: a null source is a source of its own; null and empty texts have one byte; a text longer
-than a block takes as many of its source's blocks as it fills; repeated rows get places of their own;
+than a block takes as many of its source's blocks as it fills; equal deadlines go by the sources' names,
+equal hashes of ids by id, then by text; repeated rows get places of their own;
 an empty table gives an empty result; negative or infinite weights and slots beyond 63 bits raise. The
 rows' own columns are carried in a struct, so no name clashes.
 """
@@ -41,16 +42,6 @@ TEMPER = 0.5
 BATCH_BLOCKS = 1 << 15
 
 
-def whole_slots(weights: list[float], period: int) -> list[int]:
-    """Slots per period: at least one each, by largest remainder of what is left."""
-    spare, total = period - len(weights), sum(weights)
-    shares = [w / total * spare if total else spare / len(weights) for w in weights]
-    slots = [int(s) for s in shares]
-    for i in sorted(range(len(weights)), key=lambda i: (slots[i] - shares[i], i))[: spare - sum(slots)]:
-        slots[i] += 1
-    return [s + 1 for s in slots]
-
-
 def turns(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """(slot, source, block, release, deadline) of every block by slot: earliest deadline first among released blocks.
 
@@ -74,11 +65,6 @@ def turns(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int
         t += 1
 
 
-def schedule(slots: list[int]) -> list[int]:
-    """Which source goes in each slot of a period, given how many slots each one has in it."""
-    return [s for _, s, *_ in turns(slots, slots)]
-
-
 def in_turn(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """:func:`turns` by the exact values of the weights; sources of weight 0 begin when the others have ended."""
     exact = [Fraction(w) for w in weights]
@@ -121,7 +107,8 @@ def timetable(stats: DataFrame, weights: dict[str | None, float] | None, block_b
 def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Every row (its columns in `carry`, else all) as the struct _row, with _source, _size, _block, _release, _deadline, _slot and _at (bytes of the source before the row).
 
-    Ordering by _slot and _at gives the mixed sequence.
+    Ordering by _slot and _at gives the mixed sequence. Rows that carry no text are written down first, so
+    that texts are read once.
     """
     rows = docs.select(
         F.struct(*(carry or ["*"])).alias("_row"),
@@ -132,6 +119,8 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
     )
     if weights is not None and not all(0 <= w < math.inf for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
+    if carry and "text" not in carry:
+        rows = written(rows, "sizes")
     stats = written(rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")), "sources")
     blocks = written(timetable(stats, weights, block_bytes), "timetable")
     per_source = stats.select(F.col("_source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK_ROWS)).alias("_pieces"))
