@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, language, mixing, packing, quality
 from docloom.llm.common import fresh, table, written
-from docloom.operators.ranks import spread_join
+from docloom.operators.ranks import CHUNK_ROWS, spread_join
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of the rows in the order in which the stage before has written them."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-.*?-c(\d+)", 1).cast("long")
-    again = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-.*?-c(\d+)", 2).cast("long")
-    row = F.col("_metadata.row_index")
-    rows = docs.select("doc_id", "text", (part * 1000 + again).alias("_file"), row.alias("_row"))
-    chunk = F.col("_file") * (1 << 24) + F.floor(F.col("_row") / packing.CHUNK_ROWS)
+    """Batches of the rows in the order in which the stage before has written them: by file, then by row.
+
+    Writers number their files, so shorter names come first and equally long ones by their letters. The
+    list of files is as long as that of the stage's tasks, which the driver holds anyway.
+    """
+    origin = docs.metadataColumn("_metadata")  # not a column of the rows, should they have one of that name
+    path, row = origin["file_path"], origin["row_index"]
+    files = sorted((r.path for r in docs.select(path.alias("path")).distinct().collect()), key=lambda x: (len(x), x))
+    known = spark.createDataFrame([(x, i) for i, x in enumerate(files)], "_path string, _file long")
+    rows = docs.select("doc_id", "text", path.alias("_at"), row.alias("_row")).join(F.broadcast(known), F.col("_at") == F.col("_path"))
+    chunk = F.col("_file") * (1 << 24) + F.floor(F.col("_row") / CHUNK_ROWS)
     return packing.packed(rows, chunk=chunk, order=[F.col("_file"), F.col("_row")])
 
 
