@@ -8,7 +8,12 @@ numbered within their bucket in pieces, so that a bucket of any size spreads ove
 
 Defined results: null and blank texts have length 0 and go to the first bucket, and count a token each
 for the budget if that is padded to 0; fewer distinct lengths than buckets give fewer buckets; a text
-beyond the budget is a batch of its own; repeated rows are packed each; an empty table gives an empty result. Extra columns don't matter.
+beyond the budget is a batch of its own; of equal paddings any choice of boundaries may be made; rows
+that tie in the order are told apart by id and length, and equal ones are packed each; an empty table
+gives an empty result. Extra columns don't matter.
+
+Texts are read once: what is known of each row then, its id, length and place in the order, is written
+to the shared folder, and all else reads that.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_ROWS, pieces, ranked, table, text_of
+from .common import pieces, ranked, table, text_of, written
 
 BUCKETS = 16
 #: Padded tokens of a batch.
@@ -72,15 +77,30 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
     return out[::-1]
 
 
+def _bucket_of(buckets: list[tuple[int, ...]]) -> Column:
+    """The first bucket that a row's length fits into, as a struct: a chain over the few buckets."""
+    names = ("bucket", "_low", "bucket_length", "_each", "_first", "_pieces")
+    out = None
+    for b in reversed(buckets):
+        own = F.struct(*[F.lit(x).cast("int" if n == "bucket" else "long").alias(n) for n, x in zip(names, b, strict=True)])
+        out = own if out is None else F.when(F.col("n_tokens") <= b[2], own).otherwise(out)
+    if out is None:
+        out = F.struct(*[F.lit(None).cast("int" if n == "bucket" else "long").alias(n) for n in names])
+    return out
+
+
 def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, chunk: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch, slot and padding of every row.
 
     Rows go into batches in the order given (`chunk` a whole number that rises with it, over at most
-    about a thousand rows each), else in that of a hash of their ids.
+    about a thousand rows each), else in that of a hash of their ids and texts.
     """
-    spark = docs.sparkSession
-    extra = {} if order is None else {"_chunk0": chunk, **{f"_o{i}": c for i, c in enumerate(order)}}
-    rows = docs.select("doc_id", length_of().alias("n_tokens"), *[c.alias(n) for n, c in extra.items()])
+    if order is None:  # a hot id spreads by its texts, rows without an id by where they lie
+        spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+        extra = {"_chunk0": F.xxhash64("doc_id", spread, F.lit(5)), "_o0": F.xxhash64("doc_id", spread, F.lit(6)), "_o1": F.col("doc_id")}
+    else:
+        extra = {"_chunk0": chunk, **{f"_o{i}": c for i, c in enumerate(order)}}
+    rows = written(docs.select("doc_id", length_of().alias("n_tokens"), *[c.alias(n) for n, c in extra.items()]), "lengths")
     found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
     lengths, counts = found["n_tokens"].to_pylist(), found["n"].to_pylist()
     edges = boundaries(lengths, counts, buckets)
@@ -91,12 +111,9 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, chunk:
         each = max(1, budget // max(1, edge))
         table_.append((b, below, edge, each, first, pieces(n)))
         first, below = first + -(-n // each), edge
-    found = spark.createDataFrame(table_, "bucket int, _low long, bucket_length long, _each long, _first long, _pieces long")
-    rows = rows.join(F.broadcast(found), (F.col("n_tokens") > F.col("_low")) & (F.col("n_tokens") <= F.col("bucket_length")))
-    if order is None:
-        rows = ranked(rows, "bucket", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_pieces")), [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id"), F.col("n_tokens")], "_rank")
-    else:
-        rows = ranked(rows, "bucket", F.col("_chunk0"), [F.col(f"_o{i}") for i in range(len(order))], "_rank")
+    rows = rows.select("*", F.inline(F.array(_bucket_of(table_))))
+    piece = F.col("_chunk0") if order is not None else F.pmod(F.col("_chunk0"), F.col("_pieces"))
+    rows = ranked(rows, "bucket", piece, [F.col(n) for n in extra if n != "_chunk0"], "_rank")
     return rows.select(
         "doc_id",
         "n_tokens",

@@ -161,6 +161,18 @@ def test_packed_rows_have_the_least_padding(spark, sizes):
         assert len({r.bucket for r in found}) <= buckets
 
 
+def test_rows_without_ids_spread_over_chunks(spark, monkeypatch):
+    """A third of the rows without an id and a third of one id: batches are as full as any."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * (i % 5)) + f" {i}", "en", "a", 1) for i in range(3000)]
+    found = packing.packed(spark.createDataFrame(rows, DOCS), buckets=2, budget=100).collect()
+    assert len(found) == 3000 and sorted({r.batch for r in found}) == list(range(max(r.batch for r in found) + 1))
+    each = {r.bucket: 100 // r.bucket_length for r in found}
+    sizes = {}
+    for r in found:
+        sizes[r.bucket, r.batch] = sizes.get((r.bucket, r.batch), 0) + 1
+    assert all(n == each[b] or batch == max(x for k, x in sizes if k == b) for (b, batch), n in sizes.items())
+
+
 def test_boundaries_of_very_many_lengths():
     r = random.Random(4)
     lengths = sorted(r.sample(range(1, 200000), 300))
@@ -300,7 +312,7 @@ def test_pipeline_of_an_empty_and_an_awkward_table(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for k, rows in enumerate(([], awkward())):
-        docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", _place int, id int")
+        docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", _metadata int, _file int")
         for i, (_, stage) in enumerate(cp.STAGES):
             stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{i}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
