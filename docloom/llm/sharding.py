@@ -1,15 +1,21 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
-A record's virtual slot is a hash of its id and never changes. Bytes are summed up per slot, and a
-versioned table maps slots to shards. Where there is none yet, version 1 is made from scratch; else the
-latest version is edited for the rows' totals and the number of shards, which moves only the slots that
-the balance needs, and written as the next one. Records never move between slots.
-
-Defined results: a null text has 0 bytes (size 16); a null id hashes as an id of its own; equal rows
-fall into the same slot and get positions of their own; an empty table gives an empty result; a stored
-map of another number of slots raises. A version counts once it is written whole. Two runs that edit
-one map at a time aren't kept apart. Extra
-columns don't matter: only id and text are read.
+A record's virtual slot is a hash of its id, its text's checksum and its size, and never changes. Bytes
+are summed up per slot, and a versioned table maps slots to shards. Where there is none yet, version 1
+is made from scratch; else the latest version is edited for the rows' totals and the number of shards,
+which moves only the slots that the balance needs, and written as the next one. Records never move
+between slots, and a version that is there is never written over.
+
+Neither a null id nor one that many rows bear makes a slot heavy, as their texts tell them apart. Rows
+equal in all three are counted before anything is shuffled and go on as groups of at most RUN copies,
+each with a slot of its own; the copies come apart again at the end.
+
+Defined results: a null text has 0 bytes (size 16); a null id is an id like any other; equal rows get
+positions of their own; a text of any length is one record of its size, so a shard is at least as heavy
+as its heaviest record; ties in a slot's order are between equal rows; an empty table gives an empty
+result; a stored map of another number of slots raises. A version counts once it is written whole, one
+that was only begun is passed over, and of two runs that edit one map at a time the later one fails. Extra columns don't matter: only id and
+text are read.
 """
 
 from __future__ import annotations
@@ -19,29 +25,36 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import listed, scratch, table
+from .common import listed, scratch, table, written
 
 SHARDS = 40
 #: Fixed for the life of a data set. The driver holds one count and one sum for each.
 SLOTS = 8192
 #: Bytes that each record takes besides its text.
 OVERHEAD = 16
+#: Equal rows that share a virtual slot at most.
+RUN = 64
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the virtual slot of every row."""
-    return docs.select(
+    """doc_id, size, text_crc32, copies and the virtual slot of every group of equal rows."""
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"),
     )
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.when(F.col("n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))
+    rows = rows.select("doc_id", "size", "text_crc32", "n", F.explode(runs).alias("_run"))
+    copies = F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("_run") * RUN)
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_run"), F.lit(slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", copies.alias("copies"), slot.alias("vslot"))
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Rows and bytes of every virtual slot: two lists as long as there are slots, whatever the input."""
     counts, sizes = [0] * slots, [0] * slots
-    for r in rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect():
+    for r in rows.groupBy("vslot").agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("b")).collect():
         counts[r.vslot], sizes[r.vslot] = r.n, r.b
     return counts, sizes
 
@@ -88,17 +101,18 @@ def rebalance(sizes: list[int], was: list[int], shards: int, tolerance: float =
 
 
 def stored(spark: SparkSession, path: str, version: int, shard_of: list[int], sizes: list[int], counts: list[int]) -> DataFrame:
-    """Write one version of the slot map beside the earlier ones and read it back."""
+    """Write one version of the slot map beside the earlier ones and read it back; fails if it is there."""
     rows = listed(spark, vslot=list(range(len(shard_of))), shard=shard_of, bytes=sizes, first=offsets(shard_of, counts))
-    rows.select(F.col("vslot").cast("int"), F.col("shard").cast("int"), "bytes", "first").write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows.select(F.col("vslot").cast("int"), F.col("shard").cast("int"), "bytes", "first").write.parquet(f"{path}/version={version}")
     return spark.read.parquet(f"{path}/version={version}")
 
 
-def latest(spark: SparkSession, path: str) -> int:
-    """The last version of the slot map that was written whole, 0 if there is none."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+def latest(spark: SparkSession, path: str, whole: bool = True) -> int:
+    """The last version of the slot map that was written whole (or begun), 0 if there is none."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*{'/_SUCCESS' if whole else ''}")
     found = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(base)
-    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or []), default=0)
+    names = [(f.getPath().getParent() if whole else f.getPath()).getName() for f in found or []]
+    return max((int(n.split("=")[1]) for n in names), default=0)
 
 
 def shards_of(spark: SparkSession, path: str, version: int, slots: int) -> list[int]:
@@ -123,18 +137,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     """Every row with its virtual slot, shard, gapless position within the shard and the map's version.
 
     With `path`, the map there is edited for these rows and shards, and its next version applied; without,
-    the map is new. Only ids, sizes and checksums are shuffled, by virtual slot; the map has one row per
-    slot, so broadcasting it is bounded by the parameter.
+    the map is new. Texts are read once; ids, sizes and checksums are shuffled twice, by group and by
+    virtual slot; the map has one row per slot, so broadcasting it is bounded by the parameter.
     """
     spark = docs.sparkSession
-    rows = slotted(docs, slots)
+    rows = written(slotted(docs, slots), "slotted")
     counts, sizes = slot_totals(rows, slots)
-    was = latest(spark, path) if path else 0
+    was, begun = (latest(spark, path), latest(spark, path, whole=False)) if path else (0, 0)
     shard_of = rebalance(sizes, shards_of(spark, path, was, slots), shards) if was else assign(sizes, shards)
-    mapped = stored(spark, path or scratch(spark, "slot-map"), was + 1, shard_of, sizes, counts)
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("_in", place).join(F.broadcast(mapped), "vslot")
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("_in")).cast("long").alias("slot"), "vslot", F.lit(was + 1).alias("map_version"))
+    mapped = stored(spark, path or scratch(spark, "slot-map"), begun + 1, shard_of, sizes, counts)
+    before = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "copies").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(F.broadcast(mapped), "vslot")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("_in") + F.col("_copy")).cast("long").alias("slot"), "vslot", F.lit(begun + 1).alias("map_version"))
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -95,8 +97,6 @@ def test_shards_are_gapless(spark, rows):
     for s in {r.shard for r in found}:
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
     if rows:
-        import zlib
-
         by = {r.doc_id: r for r in found}
         assert by[0].size == 16 and by[11].size == len(awkward()[11][1].encode()) + 16 and by[11].text_crc32 == zlib.crc32(awkward()[11][1].encode())
 
@@ -113,6 +113,49 @@ def test_shards_are_near_equal_and_rebalance_moves_little():
     assert sum(sizes[i] for i in moved) <= 1.05 * sum(sizes) / 41
 
 
+def brute_shards(rows, shards, slots):
+    """Shard of each (id, crc, size, run of 64 copies), by giving slots in falling order to the lightest shard."""
+    import xxhash
+
+    def slot_of(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64((v & (1 << 64) - 1).to_bytes(8, "little"), seed=h).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) % slots
+
+    seen, weight, of = {}, [0] * slots, []
+    for i, text, *_ in rows:
+        key = i, zlib.crc32((text or "").encode()), len((text or "").encode()) + 16
+        seen[key] = seen.get(key, -1) + 1
+        of.append((*key, slot_of(*key, seen[key] // 64)))
+        weight[of[-1][3]] += key[2]
+    load, shard = [0] * shards, [0] * slots
+    for s in sorted(range(slots), key=lambda s: (-weight[s], s)):
+        shard[s] = min(range(shards), key=lambda k: (load[k], k))
+        load[shard[s]] += weight[s]
+    return sorted(((i, crc, size, s, shard[s]) for i, crc, size, s in of), key=repr)
+
+
+def test_shards_are_brute_force_and_hot_ids_spread(spark):
+    """Rows without an id, rows of one id, and rows equal in everything, a fifth of all each."""
+    rows = [(None if i % 5 == 0 else 7 if i % 5 == 1 else 9 if i % 5 == 2 else i, "same" if i % 5 == 2 else "x" * (i % 50) + str(i), "", "", 0) for i in range(6000)]
+    found = sharding.shard(spark.createDataFrame(rows, DOCS), shards=8, slots=512).collect()
+    assert sorted(((r.doc_id, r.text_crc32, r.size, r.vslot, r.shard) for r in found), key=repr) == brute_shards(rows, 8, 512)
+    load = np.bincount([r.shard for r in found], [r.size for r in found])
+    assert load.max() <= 1.01 * load.min()
+    for s in range(8):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_a_version_is_never_written_over(spark, tmp_path):
+    sharding.stored(spark, str(tmp_path), 1, [0, 1], [5, 6], [1, 1])
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.stored(spark, str(tmp_path), 1, [1, 0], [5, 6], [1, 1])
+    (tmp_path / "version=2").mkdir()  # a run that was lost
+    assert {r.map_version for r in sharding.shard(spark.createDataFrame(awkward(), DOCS), shards=2, slots=2, path=str(tmp_path)).collect()} == {3}
+    assert sharding.latest(spark, str(tmp_path)) == 3
+
+
 def test_a_stored_map_is_edited_and_applied(spark, tmp_path):
     """More rows and a shard more, then fewer shards: each run edits the version before it and keeps that one."""
     rows = [(i, "x" * (i % 90), "", "", 0) for i in range(4000)]
