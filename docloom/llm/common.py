@@ -26,7 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file:///tmp/checkpoints/docloom-{os.getuid()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -56,7 +56,10 @@ def listed(spark: SparkSession, **columns: list[int | None]) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand whole texts to Python workers a few at a time, so that their memory doesn't follow the default of 10,000 rows."""
+    """Hand whole texts to Python workers a few at a time, so that their memory doesn't follow the default of 10,000 rows.
+
+    The setting holds for the session from then on: plans are carried out after the caller has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

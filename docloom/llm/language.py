@@ -6,8 +6,11 @@ weighs each bit's loss by how well that bit was learned and picks the nearest co
 nearest is about as near, the row is flagged as ambiguous.
 
 Defined results: null texts and texts without a letter are `und` with score 0; if no language can be
-learned all rows are `und`; rows of null language are not learnt from but are predicted. Equal
-texts get equal answers. Extra columns don't matter.
+learned all rows are `und`; rows of null language are not learnt from but are predicted; of more than
+MOST_LANGUAGES languages those of most rows are learned, of equals the first by name, and no row is
+predicted to be another; a text is learnt from once per language, however many rows bear it; of equally
+near codewords the first by name counts. A text of any length is predicted from all of it, and learnt
+from whole or not at all. Equal texts get equal answers. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table
-from .ngrams import bags, means
+from .ngrams import means
+from .samples import distinct_texts, features
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: About so many rows of each language are learnt from, picked by a hash of their ids.
-PER_LANGUAGE = 600
-#: More languages than these are refused: the code matrix and the counts live on the driver.
+#: So many texts of each language are learnt from at most, those of least hash, and so many of all. Rows
+#: are picked by a hash of their texts for SPARE times as many first, as many may be copies.
+PER_LANGUAGE, MOST_ROWS, SPARE = 600, 30000, 4
+#: So many languages are learned at most: the code matrix lives on the driver.
 MOST_LANGUAGES = 500
 EPOCHS = 6
 RATE = 4.0
@@ -85,29 +90,17 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn the bits from rows with a language that aren't held out; the sample's size is a parameter."""
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros(0), np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, round(min(1.0, per_language / n) * (1 << 30))).otherwise(share)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < share)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = bags([t.lower() for t in batch.column("text").to_pylist()], ORDERS, False, BITS)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "ids": [x.astype(np.uint32).tobytes() for x, _ in found], "ns": [n.astype(np.float32).tobytes() for _, n in found]})
-
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(counted, "doc_id long, lang string, ids binary, ns binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("ids", "ascending")])
+    each = max(1, min(per_language, MOST_ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, round(min(1.0, SPARE * each / n) * (1 << 30))) for lang, n in counts.items()], "_l string, _share long")
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("_l")).where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1 << 30)) < F.col("_share"))
+    found, data = features(distinct_texts(rows, "lang", each, 11), "lang", ORDERS, False, BITS, lower=True)
     languages = sorted(counts)
     place = {lang: i for i, lang in enumerate(languages)}
-    ys = np.array([place[x] for x in found["lang"].to_pylist()], int)
-    data = [(np.frombuffer(i.as_py(), np.uint32), np.frombuffer(n.as_py(), np.float32)) for i, n in zip(found["ids"], found["ns"], strict=True)]
+    ys = np.array([place[x] for x in found], int)
     code = codewords(len(languages))
     return Model(languages, code, *fitted(data, ys, code))
 

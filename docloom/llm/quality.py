@@ -8,8 +8,10 @@ is one table of 2 ** BITS floats, whatever the corpus.
 
 Defined results: null and empty texts have no features and score 0.5, as both labels weigh alike; labels other
 than 0 and 1, null labels and ids without a document are not learnt from; a document with several
-labels counts with the least; with labels of one kind all score next to that, with none 0.5.
-Repeated rows are scored alike. Extra columns don't matter.
+labels counts with the least; a text is learnt from once per label, however many rows or ids bear it;
+with labels of one kind all score next to that, with none 0.5. A text of any length is scored whole and
+is learnt from whole or not at all. A score of exactly 0.5 predicts 1. Repeated rows are scored alike.
+Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table, text_of
-from .ngrams import bags, means
+from .ngrams import means
+from .samples import distinct_texts, features
 
 BITS = 17
 DIM = 16
 ORDERS = (2, 3, 4)
-#: About so many rows of either label are learnt from, picked by a hash of their ids.
-PER_LABEL = 1500
+#: So many texts of either label are learnt from at most, those of least hash. Labelled ids are picked for
+#: twice as many first, as some have no document or share a text with others.
+PER_LABEL, SPARE = 1500, 2
 EPOCHS = 6
 RATE = 0.5
 
@@ -48,30 +52,23 @@ class Model:
 
 
 def sampled(labels: DataFrame, per_label: int = PER_LABEL) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, y of about so many rows of either label, and how many of either there are."""
+    """doc_id, y of at most SPARE times so many ids of either label, and how many of either there are."""
     ys = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     ys = ys.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     counts = {r.y: r.n for r in ys.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = lambda y: F.lit(round(min(1.0, per_label / max(1, counts.get(y, 0))) * (1 << 30)))
-    return ys.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.when(F.col("y") == 1, share(1)).otherwise(share(0))), counts
+    picked = [ys.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(SPARE * per_label) for y in (0, 1)]
+    rows = [(r.doc_id, r.y) for part in picked for r in part.collect()]
+    return labels.sparkSession.createDataFrame(rows, "doc_id long, y int"), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from rows that aren't held out. The sample's size is a parameter, so it may be broadcast."""
-    small_batches(docs.sparkSession)
     picked, counts = sampled(labels, per_label)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = bags(batch.column("text").to_pylist(), ORDERS, True, BITS)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": [x.astype(np.uint32).tobytes() for x, _ in found], "ns": [n.astype(np.float32).tobytes() for _, n in found]})
-
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.select("doc_id", "text", "y").mapInArrow(counted, "doc_id long, y int, ids binary, ns binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-    ys = rows["y"].to_numpy()
-    data = [(np.frombuffer(i.as_py(), np.uint32), np.frombuffer(n.as_py(), np.float32)) for i, n in zip(rows["ids"], rows["ns"], strict=True)]
+    found, data = features(distinct_texts(rows, "y", per_label, 2), "y", ORDERS, True, BITS)
+    ys = np.array(found, int)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    if not n0 or not n1 or len(set(ys.tolist())) < 2:
+    if not n0 or not n1 or len(set(found)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if n0 == n1 else (30.0 if n1 else -30.0))
     return Model(fitted(data, ys), 0.0)
 
