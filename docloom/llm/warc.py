@@ -11,7 +11,8 @@ spreads a hot payload over tasks. Pages then join their record types by id.
 
 Defined results: null html is an empty payload; a null URL is written as about:blank; control
 characters and spaces in URLs are percent-encoded; null ids are less than all others; repeated rows
-of the winning id are all responses. An empty table gives an empty index.
+of the winning id are all responses; a payload of any length is one record, written and read whole in
+one row's memory. An empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ FILE_BYTES = 64 << 20
 #: Ranges closer than this are read at once; no merged read is longer than READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of archives that a reading task is dealt: the least and, if that makes very many tasks, the most.
+TASK_BYTES, MOST_TASK_BYTES, MANY_TASKS = 4 << 20, 256 << 20, 4096
 
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html binary"
@@ -168,10 +171,20 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = R
     return out
 
 
+def tasks_for(size: int) -> int:
+    """How many tasks read so many bytes of archives."""
+    return max(1, min(-(-size // TASK_BYTES), max(MANY_TASKS, -(-size // MOST_TASK_BYTES))))
+
+
 def read(index: DataFrame, payload: bool = True) -> DataFrame:
-    """The records that the index rows select, decoded from the archives."""
-    wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("_part"))
-    wanted = wanted.repartition("file", "_part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    """The records that the index rows select, decoded from the archives.
+
+    The number of tasks follows the bytes of the archives that they read, not those of the index, which
+    adaptive execution would go by; each range of a file goes to one of them.
+    """
+    tasks = tasks_for(index.agg(F.sum("length")).first()[0] or 0)
+    wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / TASK_BYTES).alias("_part"))
+    wanted = wanted.repartition(tasks, "file", "_part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     schema = _RECORD if payload else pa.schema(list(_RECORD)[:-1])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

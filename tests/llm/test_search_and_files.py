@@ -81,6 +81,17 @@ def test_archives_round_trip(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "warc-test"))).count() == 0
 
 
+def test_very_long_and_hot_payloads(spark):
+    """A payload of 30 MB, and one that a third of the pages bear."""
+    long = "é" * 15_000_000
+    rows = [(i, f"u{i}", "h" * 2000 if i % 3 == 0 else f"<p>{i}" * 300) for i in range(600)] + [(1000, "long", long), (1001, "long", long)]
+    found = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark, "warc-test")), payload=False).collect()
+    by = {r.page_id: r for r in found}
+    assert len(found) == 602 and by[1001].payload_bytes == 30_000_000 and (by[1000].record_type, by[1000].refers_to) == ("revisit", 1001)
+    assert {(r.record_type, r.refers_to) for r in found if r.page_id < 597 and r.page_id % 3 == 0} == {("revisit", 597)}
+    assert [warc.tasks_for(n) for n in (0, 1, 5 << 20, 1 << 34, 1 << 44)] == [1, 1, 2, 4096, 65536]
+
+
 def test_ranges_coalesce_and_damage_shows():
     assert warc.coalesced([(0, 10), (10, 5), (100, 5), (5000, 1)], gap=85, most=1000) == [(0, 105, [0, 1, 2]), (5000, 1, [3])]
     assert warc.coalesced([(0, 10), (10, 10), (20, 10)], gap=0, most=20) == [(0, 20, [0, 1]), (20, 10, [2])]
