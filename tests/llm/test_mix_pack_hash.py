@@ -242,14 +242,28 @@ def test_fingerprints_are_brute_force(spark, rows):
 
 
 def test_windows_of_many_buckets(spark, monkeypatch):
+    """Ids alone, in clumps, and a third of the rows of one id and a third of none."""
     monkeypatch.setattr(simhash, "WINDOW_ROWS", 3)
-    monkeypatch.setattr(simhash, "RANGES", 4)
     r = random.Random(1)
     rows = [(i, words(12, i), "", "", 0) for i in r.sample(range(10**6), 50)] + [(i, words(7, i), "", "", 0) for i in range(-5, 10)]
     test_fingerprints_are_brute_force(spark, rows)
-
-
-def test_block_tables_find_all_pairs(spark):
+    clumps = [(10**9 * (i // 20) + i, words(6, i), "", "", 0) for i in range(60)]
+    test_fingerprints_are_brute_force(spark, clumps)
+    hot = [(i if i % 3 == 0 else 30 if i % 3 == 1 else None, words(8, i), "", "", 0) for i in range(90)]
+    docs = spark.createDataFrame(hot, DOCS)
+    windows = simhash.neighbour_windows(docs).groupBy("_bucket").count().collect()
+    assert max(w["count"] for w in windows) <= 16 and len(windows) > 15
+    order = sorted(hot, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64(r[1].encode(), seed=42).intdigest())))
+    found = {(r.doc_id, r.fp): r.nfp for r in simhash.with_edits(docs).collect()}
+    assert len(found) == 90
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        assert found[a[0], signed(brute_hash(a[1]))] == signed(brute_hash(b[1]))
+
+
+@pytest.mark.parametrize("most", [8192, 3])
+def test_block_tables_find_all_pairs(spark, monkeypatch, most):
+    """With few and with many fingerprints to a key: pairing them up and looking up what is near give the same."""
+    monkeypatch.setattr(simhash, "MOST_PAIRED", most)
     r = random.Random(2)
     fps = [r.getrandbits(64) for _ in range(40)]
     fps += [f ^ sum(1 << b for b in r.sample(range(64), k)) for f in fps for k in (1, 3, 4)]
@@ -258,6 +272,20 @@ def test_block_tables_find_all_pairs(spark):
     assert sorted(map(tuple, found)) == want and len(want) >= 80
 
 
+def test_flips_change_up_to_three_bits_outside_the_key(spark):
+    rows = simhash.flips(spark).groupBy("table").agg({"flip": "count"}).collect()
+    free = [64 - sum(64 * (p + 1) // 6 - 64 * p // 6 for p in c) for c in itertools.combinations(range(6), 3)]
+    assert {r[0]: r[1] for r in rows} == {i: n + math.comb(n, 2) + math.comb(n, 3) for i, n in enumerate(free)}
+
+
+def test_long_words_and_texts_of_few_words(spark):
+    """Cuts inside words, at blanks, in the first five words, and terms beyond one run of sums."""
+    r = random.Random(6)
+    texts = ["a", "a b", "a b c d e", "a b c d e f", "  a  b\n\tc d e f g h ", "x" * 50, "x" * 50 + " y", "one two three four five six seven eight nine ten", words(700, 3), words(300, 4, "ab"), " ", "é ü 漢 字 ñ ç ö", "a b c d ", "a b c d e "]
+    rows = [(i, t[: r.randrange(len(t)) + 1] if k else t, "", "", 0) for i, (t, k) in enumerate((t, k) for t in texts for k in range(4))]
+    test_fingerprints_are_brute_force(spark, rows)
+
+
 def test_pipeline_keeps_what_it_should(spark, tiny, tmp_path):
     """Each stage against brute force on what the stage before has written."""
     import corpus_pipeline as cp
