@@ -50,11 +50,51 @@ def test_trees_cut_off_far_nodes_and_cover_their_points():
         nodes += n.children
 
 
+def test_one_large_vector_does_not_end_the_pruning():
+    """Where float64 isn't exact, whole numbers are; the trees still cut off what can't reach."""
+    draw = np.random.default_rng(4)
+    data = np.concatenate([draw.normal(size=(600, 8)) * 3 + 200 * c for c in np.eye(8)]).round()
+    data[77] = [3.0**30, -(2.0**60), 1, 2, 3, 4, 5, 6]
+    ids = np.arange(len(data))
+    s = topk.Search(data[::50], ids[::50], data, ids).run()
+    whole = [[int(x) for x in row] for row in data]
+    for n, q in enumerate(ids[::50]):
+        best = sorted((-min(max(sum(a * b for a, b in zip(whole[q], row, strict=True)), topk.LOW), topk.HIGH), i) for i, row in enumerate(whole) if i != q)[:5]
+        assert best == [(-x, i) for x, i in zip(s.scores[n].tolist(), s.ids[n].tolist(), strict=True)]
+    assert s.compared < 0.7 * len(data) * len(data[::50])
+
+
+def test_blocks_out_of_reach_are_not_sent_queries(spark, monkeypatch):
+    """Clustered vectors in several blocks: most pairs of a query and a block are ruled out before anything is shipped."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 30)
+    draw, sent = np.random.default_rng(5), []
+    own = np.concatenate([draw.normal(size=(200, 16)) * 0.02 + 3 * c for c in np.eye(16)]).astype(np.float32)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(draw.permutation(len(own)), own, strict=True)]
+    searched = topk.searched
+    monkeypatch.setattr(topk, "searched", lambda plan, data, k: sent.append(plan.count()) or searched(plan, data, k))
+    found = topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    whole = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, found)) == brute_top(whole, [i for i, _ in rows if i % 20 == 0], topk.K)
+    queries, blocks = sum(i % 20 == 0 for i, _ in rows), len(rows) // 100
+    assert sent[0] == queries and sum(sent) < 0.25 * queries * blocks
+
+
 def test_top_of_awkward_vectors(spark):
-    rows = [(0, [1.0, 2.0], "x"), (10, None, None), (20, [], None), (30, [1.0, None], None), (40, [float("nan"), 1.0], None), (50, [float("inf"), 1.0], None), (None, [1.0, 1.0], None), (1, [3.0, 1.0], None), (2, [1.0, 1.0, 1.0], None), (0, [1.0, 2.0], "x"), (60, [1e12, -1e12], None)]
-    found = topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 10 == 0).collect()
-    assert sorted(map(tuple, found)) == [(0, 1, 1, 256 * 768 + 512 * 256), (0, 2, 60, 256 * 256 * 10**12 - 512 * 256 * 10**12), (60, 1, 1, 256 * 10**12 * 512), (60, 2, 0, -256 * 10**12 * 256), (60, 3, 0, -256 * 10**12 * 256)]
-    assert topk.top(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
+    rows = [(0, [1.0, 2.0], "x"), (10, None, None), (20, [], None), (30, [1.0, None], None), (40, [float("nan"), 1.0], None), (50, [float("inf"), 1.0], None), (None, [1.0, 1.0], None), (1, [3.0, 1.0], None), (2, [1.0, 1.0, 1.0], None), (0, [1.0, 2.0], "x"), (60, [1e12, -1e12], None), (70, [1e308, 0.0], None)]
+    top = lambda rows, kind="array<double>": sorted(map(tuple, topk.top(spark.createDataFrame(rows, f"vec_id long, embedding {kind}, score string"), F.col("vec_id") % 10 == 0).collect()))
+    assert top(rows) == [(0, 1, 1, 256 * 768 + 512 * 256), (0, 2, 60, 256 * 256 * 10**12 - 512 * 256 * 10**12), (60, 1, 1, 256 * 10**12 * 512), (60, 2, 0, -256 * 10**12 * 256), (60, 3, 0, -256 * 10**12 * 256)]
+    large = [(0, [1e30, 1.0], ""), (1, [1e30, 0.0], ""), (2, [-1e30, 0.0], ""), (3, [1e-3, 5.0], ""), (4, [1e305, -1e305], ""), (5, [0.0, 0.0], "")]
+    assert top(large) == [(0, 1, 1, topk.HIGH), (0, 2, 4, topk.HIGH), (0, 3, 3, 256 * 1280), (0, 4, 5, 0), (0, 5, 2, topk.LOW)]
+    assert top([], "array<float>") == []
+
+
+def test_top_with_hot_ids_and_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DATA_BLOCK", 20)
+    rows = [(7 if i % 3 == 0 else 10 if i % 3 == 1 else i, [1.0, float(i % 2)] if i % 3 else [2.0, 2.0]) for i in range(300)] + [(301, [3.0])]
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows if len(v) == 2]
+    found = sorted(map(tuple, topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()))
+    assert found == brute_top(whole, [i for i, _ in whole if i % 20 == 0], 5)
 
 
 def pages():
