@@ -8,26 +8,35 @@ frequent shingles last. If two sets of sizes a and b reach the similarity, they
 Each document takes the l of least estimated cost - shared prefix shingles to count, candidates to
 verify - and a pair is a candidate if it shares as many prefix shingles as the smaller of its two l.
 
-Candidates come from runs of rows with the same prefix shingle. Pairs are counted in short runs; a
-longer run is not paired up but linked as a chain of leaders over sizes that could match, which keeps
-every pair that the run holds in one cluster. Candidate links make clusters, and all pairs within a
-cluster are verified on whole sets, in tiles of bounded size, so that neither a frequent shingle nor a
-large group of near copies gathers in one task, and no pair is lost. What comes out per tile is at
-most one row per document.
+Candidates come from runs of rows with the same prefix shingle. Pairs are counted in short runs. In a
+longer run counting would list all its pairs, so its rows are linked with a few leaders instead, which
+keeps every pair that the run holds in one cluster: a chain of leaders over sizes that could match,
+where one task reads the run, and for shingles that the counting table shows to be hot, the least row of
+each band of sizes, found by an aggregate that no single task has to gather.
+
+Candidate links make clusters, and documents of a cluster are verified on whole sets in tiles of bounded
+size. To count links, all pairs of tiles of a cluster are compared. For components alone that isn't
+needed: each tile is compared within itself and with a few leaders of its cluster, which joins up a
+large group of near copies in work proportional to its size; then only documents still outside their
+cluster's largest component are compared, with those of sizes that could match. No pair that could join
+two components is left out, and what comes out per tile is at most one row per document.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; fewer words than a
 shingle are one shingle; equal rows are one class; rows that share an id share its component; rows of
-null id have a null component. Extra columns don't matter: only id and text are read.
+null id have a null component; of shingles of equal count that of smaller hash comes first, and any
+order gives the same result; a text of any length is one set, held by one task at a time. An empty
+table gives an empty result. Extra columns don't matter: only id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import plain_unions, spread_join
@@ -37,17 +46,18 @@ from .shingles import Shingler
 
 #: Similarity in percent.
 PERCENT = 80
-#: The counting table has 2 ** COUNT_BITS counters, sent about in pieces.
-COUNT_BITS, PIECE = 20, 1 << 12
-#: Runs of up to so many rows are paired up.
-SHORT_RUN = 48
+#: The counting table has 2 ** COUNT_BITS counters, more for more rows, up to 2 ** MOST_COUNT_BITS (64 MB
+#: when sent out), and is sent about in pieces.
+COUNT_BITS, MOST_COUNT_BITS, PIECE = 20, 24, 1 << 12
+#: Runs of up to so many rows are paired up; shingles counted more often than HOT_RUN don't make runs.
+SHORT_RUN, HOT_RUN = 48, 1024
 #: Cost model: candidates that a prefix shingle brings though the counting table can't show it, and the
 #: cost of verifying one shingle in units of counting one prefix shingle.
 UNSEEN, VERIFY = 0.02, 0.1
-#: Documents of a verification tile.
-TILE = 256
-#: Bits of the filter that keeps documents without candidates from being read again.
-FILTER_BITS = 23
+#: Documents of a verification tile, and leaders that each tile of a larger cluster is compared with.
+TILE, LEADERS = 256, 16
+#: Bits per id of the filter that keeps documents without candidates from being read again, and bounds of its size (32 MB).
+FILTER_EACH, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 16, 28
 
 
 def least(n: int, percent: int = PERCENT) -> int:
@@ -58,17 +68,18 @@ def least(n: int, percent: int = PERCENT) -> int:
 def profile(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n and digest (d1, d2) of every row, and the counting table over all of them."""
     small_batches(docs.sparkSession)
+    bits = min(MOST_COUNT_BITS, max(COUNT_BITS, docs.count().bit_length() + 1))
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(), np.zeros(1 << COUNT_BITS, np.uint32)
+        shingler, counts = Shingler(), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             sets = shingler.sets(batch.column("text").to_pylist())
             for s in sets:
-                np.add.at(counts, s >> np.uint64(64 - COUNT_BITS), np.uint32(1))
+                np.add.at(counts, s >> np.uint64(64 - bits), np.uint32(1))
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *none], names=names)
-        pieces = [i for i in range(0, 1 << COUNT_BITS, PIECE) if counts[i : i + PIECE].any()]
+        pieces = [i for i in range(0, 1 << bits, PIECE) if counts[i : i + PIECE].any()]
         none = [pa.nulls(len(pieces), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array([i // PIECE for i in pieces], pa.int32()), pa.array([counts[i : i + PIECE].tobytes() for i in pieces], pa.binary())], names=names)
 
@@ -85,7 +96,7 @@ def profile(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndar
         for piece, counts in total.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
-    counts = np.zeros(1 << COUNT_BITS, np.uint64)
+    counts = np.zeros(1 << bits, np.uint64)
     for r in rows.where("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(summed, "piece int, counts binary").collect():
         counts[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.uint64)
     return rows.where("piece IS NULL").select("doc_id", "n", "d1", "d2"), counts
@@ -93,7 +104,7 @@ def profile(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndar
 
 def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     """The multi-match l of least estimated cost and the prefix that goes with it."""
-    f = counts[s >> np.uint64(64 - COUNT_BITS)]
+    f = counts[s >> np.uint64(65 - len(counts).bit_length())]
     order = np.lexsort((s, f))
     n, need = len(s), least(len(s), percent)
     matches = np.unique(np.geomspace(1, max(1, need // 4), 24).astype(int))
@@ -111,23 +122,50 @@ def candidates(docs: DataFrame, rows: DataFrame, counts: np.ndarray, percent: in
     usual = float(counts.mean())
     shared = spark.sparkContext.broadcast(counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
 
+    hot_from = HOT_RUN + 2 * usual  # as a counter may hold so much by chance
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            out = [(i, len(s), *prefix(s, shared.value, usual, percent)) for i, s in zip(batch.column("doc_id").to_pylist(), shingler.sets(batch.column("text").to_pylist()), strict=True) if len(s)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int32()), "l": pa.array([x[2] for x in out], pa.int32()), "tokens": pa.array([x[3].view(np.int64) for x in out], pa.list_(pa.int64()))})
-
-    reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).select("rep")
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixes, "doc_id long, n int, l int, tokens array<long>")
-    found = found.join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-    found = found.select(F.explode("tokens").alias("token"), "doc_id", "n", "l").repartition("token").sortWithinPartitions("token", "n", "doc_id")
+            ids, ns, ls, tokens, hot = [], [], [], [], []
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingler.sets(batch.column("text").to_pylist()), strict=True):
+                if len(s):
+                    matches_, own = prefix(s, shared.value, usual, percent)
+                    often = shared.value[own >> np.uint64(65 - len(shared.value).bit_length())] > hot_from
+                    ids.append(i), ns.append(len(s)), ls.append(matches_), tokens.append(own[~often].view(np.int64)), hot.append(own[often].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int32()), "l": pa.array(ls, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.int64()))})
+
+    reps = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).select(F.col("rep").alias("id")), "classes")
+    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = passing(some, reps, True).mapInArrow(prefixes, "doc_id long, n int, l int, tokens array<long>, hot array<long>")
+    found = written(found.join(reps, F.col("doc_id") == F.col("id"), "left_semi"), "prefixes")
+    dealt = found.select(F.explode("tokens").alias("token"), "doc_id", "n", "l").repartition("token").sortWithinPartitions("token", "n", "doc_id")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return Runs(percent).all(batches)
 
-    links = found.mapInArrow(runs, "a long, b long, shared long, needed int")
+    links = dealt.mapInArrow(runs, "a long, b long, shared long, needed int")
     links = links.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
-    return written(links.where("shared >= needed").select("a", "b"), "candidates")
+    links = links.where("shared >= needed").select("a", "b")
+    out = written(links.unionAll(hot_links(found.select(F.explode("hot").alias("token"), "doc_id", band_of(F.col("n"), percent).alias("band")))), "candidates")
+    dropped(found)
+    return out
+
+
+def band_of(n: Column, percent: int) -> Column:
+    """A set's band of sizes: those of similar sets are the same or next to each other."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent * (1 + 1e-6))).cast("int") if percent < 100 else n.cast("int")
+
+
+def hot_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of the rows (token, doc_id, band) with the least row of their token and band, and of those of neighbouring bands."""
+    key = F.struct("token", "band")
+    heads = written(rows.groupBy("token", "band").agg(F.min("doc_id").alias("head")), "heads")
+    rows = rows.select("doc_id", key.alias("_key"))
+    to_head = spread_join(rows, heads.select(key.alias("_run"), "head"), "_key", "_run", ["doc_id"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    below = heads.select(F.col("token").alias("_t"), (F.col("band") + 1).alias("_b"), F.col("head").alias("low"))
+    between = heads.join(below, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b"))).select(F.col("head").alias("a"), F.col("low").alias("b"))
+    return to_head.unionAll(between).where("a <> b").distinct()
 
 
 class Runs:
@@ -216,8 +254,8 @@ class Runs:
         return token, leader, leader_n, last, last_n
 
 
-def member_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size over the ids' hashes, built by the JVM; what it lets through may be too much, never too little."""
+def member_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2 ** bits places over the ids' hashes, built by the JVM; what it lets through may be too much, never too little."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     parts = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
@@ -228,7 +266,8 @@ def member_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 def passing(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
     """The rows that the filter over `ids` (column id) lets through, or those that it doesn't."""
-    bits = docs.sparkSession.sparkContext.broadcast(member_filter(ids))
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (FILTER_EACH * ids.count()).bit_length()))
+    bits = docs.sparkSession.sparkContext.broadcast(member_filter(ids, size))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +277,7 @@ def passing(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
             hit = (bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(hit == inside)).select(list(range(batch.num_columns - 1)))
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias(fresh(docs, "_place"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << size)).alias(fresh(docs, "_place"))
     return docs.select("*", place).mapInArrow(passed, docs.schema)
 
 
@@ -255,32 +294,103 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return passing(docs, ids, False).union(maybe.join(ids.withColumnRenamed("id", own), F.col("doc_id") == F.col(own), "left_anti"))
 
 
-def verified(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, links: for every tile of the clusters (node, component), each linked document with one of its group there and its number of links."""
-    tiles = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("component", "_c")
-    members = spread_join(clusters, tiles, "component", "_c", ["node"])
-    t = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("t1"), F.greatest(F.col("t"), o).alias("t2")))
+def sets_of(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """c, m (the cluster's documents), doc_id, n, shingles of every document of a cluster (node, component), written down."""
+    counted = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
+    members = spread_join(clusters, counted, "component", "_c", ["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingler.sets(batch.column("text").to_pylist())], pa.binary())})
+            found = shingler.sets(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in found], pa.int64()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
     wanted = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = passing(wanted, clusters.select(F.col("node").alias("id")), True)
-    wanted = wanted.mapInArrow(sets, "doc_id long, shingles binary")
-    wanted = wanted.join(members.withColumn("t", t), F.col("doc_id") == F.col("node"))
-    wanted = wanted.select(F.col("component").alias("c"), "t", F.explode(pair).alias("p"), "doc_id", "shingles").select("c", "p.t1", "p.t2", "t", "doc_id", "shingles")
+    wanted = passing(wanted, clusters.select(F.col("node").alias("id")), True).mapInArrow(sets, "doc_id long, n long, shingles binary").where("n > 0")
+    return written(wanted.join(members, F.col("doc_id") == F.col("node")).select(F.col("component").alias("c"), "m", "doc_id", "n", "shingles"), "sets")
 
-    def matched(group: pa.Table) -> pa.Table:
-        return matches(group, percent)
 
-    return wanted.groupBy("c", "t1", "t2").applyInArrow(matched, "a long, b long, links long")
+def tile_of(count: Column) -> tuple[Column, Column]:
+    """How many tiles so many documents make, and which of them a document is in."""
+    tiles = F.ceil(count / TILE).cast("int")
+    return tiles, F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
 
 
-def matches(group: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """All pairs of a tile, or between two tiles, by counting the shingles they share."""
+def all_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, links: for every pair of tiles of a cluster, each linked document with one of its group there and its number of links."""
+    tiles, t = tile_of(F.col("m"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("t1"), F.greatest(F.col("t"), o).alias("t2")))
+    rows = sets.select("c", tiles.alias("tiles"), t.alias("t"), "doc_id", "shingles")
+    rows = rows.select("c", F.explode(pair).alias("p"), "t", "doc_id", "shingles").select("c", "p.t1", "p.t2", "t", "doc_id", "shingles")
+
+    def matched(group: pa.Table) -> pa.Table:
+        return matches(group, percent, "t" if group["t1"][0].as_py() != group["t2"][0].as_py() else None)
+
+    return rows.groupBy("c", "t1", "t2").applyInArrow(matched, "a long, b long, links long")
+
+
+def joining_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: links between documents of a cluster, enough of them to join up all that links join up."""
+    tiles, t = tile_of(F.col("m"))
+    large = sets.where(F.col("m") > TILE)
+    several = large.limit(1).count() > 0
+    rows = sets.select("c", (F.col("m") > TILE).alias("large"), t.alias("t"), "doc_id", "shingles")
+    if several:
+        rank = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+        leaders = large.select("c", "doc_id").withColumn("_k", rank).where(F.col("_k") <= LEADERS).select(F.col("doc_id").alias("_lead"))
+        lead = large.join(leaders, F.col("doc_id") == F.col("_lead"), "left_semi").select("c", F.lit(True).alias("large"), t.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"), "doc_id", "shingles")
+        rows = rows.unionAll(lead.where("t <> own").select("c", "large", "t", "doc_id", "shingles"))
+
+    def within(group: pa.Table) -> pa.Table:
+        found = matches(group, percent)
+        return pa.table({"a": found["a"], "b": found["b"], "large": pa.array([group["large"][0].as_py()] * len(found), pa.bool_())})
+
+    edges = written(rows.groupBy("c", "t").applyInArrow(within, "a long, b long, large boolean"), "links")
+    if not several:
+        return edges.select("a", "b")
+    labels = components(edges.where("large").select("a", "b"))
+    ids = large.select("c", "doc_id", "n").join(labels, F.col("doc_id") == F.col("node"), "left")
+    ids = written(ids.select("c", "doc_id", "n", F.coalesce("component", "doc_id").alias("q")), "labels")
+    apart = ids.groupBy("c", "q").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("c").alias("_c"))
+    apart = written(apart.agg(F.max_by("q", F.struct("k", "q")).alias("_main"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "apart")
+    if apart.count() == 0:
+        return edges.select("a", "b")
+    ids = spread_join(ids, apart, "c", "_c", ["doc_id"]).select("c", "doc_id", "q", band_of(F.col("n"), percent).alias("band"), (F.col("q") == F.col("_main")).alias("main"))
+    placed = met(ids).join(large.select(F.col("doc_id").alias("_d"), "shingles"), F.col("doc_id") == F.col("_d")).drop("_d")
+
+    def between(group: pa.Table) -> pa.Table:
+        return matches(group, percent, "q").select(["a", "b"])
+
+    more = placed.groupBy("c", "bu", "bv", "vmain", "tu", "tv").applyInArrow(between, "a long, b long")
+    return edges.select("a", "b").unionAll(more)
+
+
+def met(ids: DataFrame) -> DataFrame:
+    """The documents (c, doc_id, q, band, main) in every meeting (c, bu, bv, vmain, tu, tv) of two tiles of similar sizes.
+
+    One tile holds documents outside the cluster's main component; the other any. Both may be the same.
+    """
+    units = written(ids.groupBy("c", "band", "main").agg(tile_of(F.count(F.lit(1)))[0].alias("tiles")), "units")
+    one = units.where("NOT main").select("c", F.col("band").alias("bu"), F.col("tiles").alias("ut"))
+    other = units.select(F.col("c").alias("_c"), F.col("band").alias("bv"), F.col("main").alias("vmain"), F.col("tiles").alias("vt"))
+    pairs = one.join(other, (F.col("c") == F.col("_c")) & (F.abs(F.col("bu") - F.col("bv")) <= 1) & (F.col("vmain") | (F.col("bv") >= F.col("bu"))))
+    same = ~F.col("vmain") & (F.col("bu") == F.col("bv"))
+    unit = lambda band, main: F.struct(F.col("c"), F.col(band).alias("band"), main.alias("main"))
+    named = F.struct("c", "bu", "bv", "vmain").alias("meeting")
+    left = pairs.select(unit("bu", F.lit(False)).alias("_unit"), named, F.col("ut").alias("own"), F.col("vt").alias("others"), F.when(same, 2).otherwise(0).alias("role"))
+    right = pairs.where(~same).select(unit("bv", F.col("vmain")).alias("_unit"), named, F.col("vt").alias("own"), F.col("ut").alias("others"), F.lit(1).alias("role"))
+    rows = spread_join(ids.select("doc_id", "q", F.struct("c", "band", "main").alias("unit")), left.unionAll(right), "unit", "_unit", ["doc_id"])
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    first = F.when(F.col("role") == 0, F.col("t")).when(F.col("role") == 1, F.col("o")).otherwise(F.least("t", "o"))
+    second = F.when(F.col("role") == 0, F.col("o")).when(F.col("role") == 1, F.col("t")).otherwise(F.greatest("t", "o"))
+    return rows.select("meeting.*", first.alias("tu"), second.alias("tv"), "doc_id", "q")
+
+
+def matches(group: pa.Table, percent: int = PERCENT, apart: str | None = None) -> pa.Table:
+    """Linked documents (a) of a group with one that they are joined up with (b) and their number of links, by counting the shingles that pairs share.
+
+    With `apart`, pairs that have the same value in that column don't count.
+    """
     ids = group["doc_id"].to_numpy()
     sets = [np.frombuffer(s.as_py(), np.uint64) for s in group["shingles"]]
     sizes = np.array([len(s) for s in sets])
@@ -303,9 +413,9 @@ def matches(group: pa.Table, percent: int = PERCENT) -> pa.Table:
     linked = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
     linked &= (sizes > 0)[:, None] & (sizes > 0)[None]
     np.fill_diagonal(linked, False)
-    t = group["t"].to_numpy()
-    if group["t1"][0].as_py() != group["t2"][0].as_py():
-        linked &= t[:, None] != t[None]
+    if apart:
+        kind = group[apart].to_numpy()
+        linked &= kind[:, None] != kind[None]
     label = np.arange(len(sets))
     while True:
         lower = np.minimum(label, np.where(linked, label[None], len(sets)).min(1))
@@ -317,25 +427,33 @@ def matches(group: pa.Table, percent: int = PERCENT) -> pa.Table:
     return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[label[some]], pa.int64()), "links": pa.array(linked.sum(1)[some], pa.int64())})
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (to other classes of texts) of every row."""
+def join(docs: DataFrame, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, unless that is left out, links (to other classes of texts) of every row.
+
+    Counting links compares all pairs of a cluster; without it, work follows the clusters' sizes.
+    """
+    plain_unions(docs.sparkSession)
     rows, counts = profile(docs, percent)
-    links = candidates(docs, rows, counts, percent)
-    clusters = written(components(links), "clusters")
-    edges = written(verified(docs, clusters, percent), "links")
-    dropped(links, clusters)
+    near = candidates(docs, rows, counts, percent)
+    clusters = written(components(near), "clusters")
+    sets = sets_of(docs, clusters)
+    edges = written((all_links if links else joining_links)(sets, percent), "links")
+    dropped(near, clusters, sets)
     found = components(edges.select("a", "b"))
-    counted = edges.groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("_l"), "left")
-    classes = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("_c"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.join(classes, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_c"))).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    digest = F.struct("d1", "d2")
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left")
+    classes = classes.select(digest.alias("_class"), "rep", F.coalesce("component", "rep").alias("_c"))
+    if links:
+        counted = edges.groupBy(F.col("a").alias("_l")).agg(F.sum("links").alias("links"))
+        classes = classes.join(counted, F.col("rep") == F.col("_l"), "left")
+    out = spread_join(rows.withColumn("_digest", digest), classes, "_digest", "_class", ["doc_id"], "left")
+    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_c"))).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *([F.coalesce("links", F.lit(0)).alias("links")] if links else []))
 
 
 def op7_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component."""
-    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return join(table(spark, sf_dir, "documents"), links=False)
 
 
 ORACLE = r"""

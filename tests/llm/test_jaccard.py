@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import jaccard
 from docloom.llm.graph import components
@@ -36,8 +37,65 @@ def brute(rows, percent=80):
 
 @pytest.mark.parametrize("rows", [awkward(), many(), []], ids=["awkward", "many", "empty"])
 def test_join_is_brute_force(spark, rows):
-    found = jaccard.join(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, found), key=repr) == brute(rows)
+    for links in (True, False):
+        found = jaccard.join(spark.createDataFrame(rows, DOCS), links=links).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize(("short", "hot", "tile", "leaders"), [(48, 1024, 256, 16), (3, 2, 8, 2), (2, 0, 4, 1)])
+def test_components_of_large_clusters(spark, monkeypatch, short, hot, tile, leaders):
+    """Groups of near copies, chains from one text to another, and texts that share passages but aren't similar, in many sizes."""
+    for name, value in (("SHORT_RUN", short), ("HOT_RUN", hot), ("TILE", tile), ("LEADERS", leaders)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows, r = [], random.Random(12)
+    passage = words(40, 77).split()
+    for g in range(4):
+        base = words(50 + 30 * g, 40 + g).split()
+        for i in range(30):
+            mine = base + [f"x{g}{k}" for k in range(i // 3)]
+            for _ in range(r.randrange(4)):
+                mine[r.randrange(len(mine))] = f"w{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(mine), "en", "a", 1))
+    drift = words(60, 5).split()
+    for i in range(40):
+        drift[i % 60] = f"d{i}"
+        rows.append((len(rows), " ".join(drift), "en", "a", 1))
+    for i in range(40):
+        rows.append((len(rows), " ".join(passage + words(12 + i, 900 + i).split()), "en", "a", 1))
+    want = brute(rows)
+    assert 10 < len({c for _, _, c in want}) < 150
+    found = jaccard.join(spark.createDataFrame(rows, DOCS), links=False).collect()
+    assert sorted(map(tuple, found), key=repr) == want
+
+
+def test_work_on_near_copies_grows_with_their_number(spark, monkeypatch):
+    """Twice the near copies of one text: about twice the rows that tiles read, not four times."""
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "LEADERS", 4)
+    read, matches = spark.sparkContext.accumulator(0), jaccard.matches
+
+    def counted(group, *rest):
+        read.add(len(group))
+        return matches(group, *rest)
+
+    monkeypatch.setattr(jaccard, "matches", counted)
+    took, base = [], words(200, 3).split()
+    for n in (400, 800):
+        r, rows, was = random.Random(n), [], read.value
+        for i in range(n):
+            mine = base.copy()
+            for _ in range(2):
+                mine[r.randrange(200)] = f"w{i}"
+            rows.append((i, " ".join(mine), "en", "a", 1))
+        found = jaccard.join(spark.createDataFrame(rows, DOCS), links=False).collect()
+        assert {x.component_id for x in found} == {0}
+        took.append(read.value - was)
+    assert took[1] < 2.5 * took[0]
+
+
+def test_bands_of_similar_sizes_are_neighbours(spark):
+    rows = spark.range(1, 20001).select("id", jaccard.band_of(F.col("id"), 80).alias("a"), jaccard.band_of(F.ceil(F.col("id") * 0.8), 80).alias("b"), jaccard.band_of(F.col("id"), 50).alias("c"), jaccard.band_of(F.ceil(F.col("id") / 2), 50).alias("d"))
+    assert rows.where("a - b > 1 OR c - d > 1 OR a < b").count() == 0
 
 
 def test_chain_of_near_copies_and_short_runs(spark, monkeypatch):
