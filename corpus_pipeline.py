@@ -33,7 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     own, tie = fresh(docs, "_own"), fresh(docs, "_tie")
     keyed = docs.withColumn(own, F.col("doc_id")).withColumn(tie, F.xxhash64("text")).withColumn("doc_id", F.monotonically_increasing_id())
     keyed = written(keyed, "keyed")
-    found = jaccard.join(keyed).select(F.col("doc_id").alias("_k"), "component_id")
+    found = jaccard.join(keyed, links=False).select(F.col("doc_id").alias("_k"), "component_id")
     ids = keyed.select("doc_id", F.struct(F.col(own).isNull().alias("a"), F.col(own).alias("b"), F.col(tie).alias("c"), F.col("doc_id").alias("d")).alias("_o"))
     found = written(found.join(ids, F.col("_k") == F.col("doc_id")).select("component_id", "_o"), "components")
     groups = found.groupBy(F.col("component_id").alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_first")).where("n > 1").select("_c", F.col("_first.d").alias("_first"))
