@@ -22,7 +22,7 @@ def filled(*values: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Without blanks of any script at either end."""
-    return F.regexp_replace(value, f"^[{v.BLANKS}]+|[{v.BLANKS}]+$", "")
+    return F.btrim(value, F.lit(v.BLANK_CHARS))
 
 
 def without(value: Column, words: list[str]) -> Column:

@@ -30,7 +30,8 @@ UNKNOWN_REASON, WAITING = "无法识别工程信息", "等待OCR"
 DONE_FOLDER, FAILED_FOLDER = "已重命名图片", "未识别"
 RESULT_SHEET, RENAME_SHEET = "处理结果", "重命名记录"
 
-#: What Python's str.strip removes, as a character class that Java and RE2 both read.
+#: What Python's str.strip removes, as characters and as a character class that Java and RE2 both read.
+BLANK_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 OPEN_PATTERNS = [r"我方完成([^\n]+?)项目开工前", r"我方完成([^\n]+?)开工前的", r"我方完成([^\n]+?)，?项目开工"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vocab as v
+from .ranks import shared
 
 #: Bands around an anchor, in pixels.
 SAME_LINE, NAME_LEFT, NAME_BELOW, CODE_LEFT, CODE_BELOW = 60, 50, 260, 30, 180
@@ -23,38 +24,46 @@ def token_text(tokens: DataFrame, sep: str = "\n") -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), sep).alias("raw_text"))
 
 
-def located(tokens: DataFrame, field: str) -> DataFrame:
-    """doc_id, anchor, pos, value: for each anchor, every value right of or below it, up to the next stop word.
+#: Of each field: its labels, how far left of an anchor and how far below it a value may start, and its cleaning.
+FIELDS = {"project_name": (v.NAME_LABELS, NAME_LEFT, NAME_BELOW, t.area_name), "project_code": (v.CODE_LABELS, CODE_LEFT, CODE_BELOW, t.area_code)}
 
-    Tokens are dealt by document once; the window that finds each anchor's stop and the self-join on
-    the document use that same exchange.
+
+def located(tokens: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, field, anchor, pos, value: for each anchor, every value right of or below it, up to the next stop word.
+
+    Tokens are dealt by document once, for all fields together; the window that finds each anchor's stop
+    and the self-join on the document use that same exchange.
     """
-    name = field == "project_name"
     order = Window.partitionBy("doc_id").orderBy("y", "x", "in_pos")
     rows = tokens.select("doc_id", "in_pos", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), t.some("text").alias("text"))
-    rows = rows.withColumn("pos", F.row_number().over(order))
+    rows = shared(rows, "doc_id").withColumn("pos", F.row_number().over(order))
     stop = F.when(t.has_any(F.col("text"), v.AREA_STOPS), F.col("pos"))
     anchors = rows.withColumn("stop", F.min(stop).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)))
-    anchors = anchors.where(t.has_any(F.col("text"), v.NAME_LABELS if name else v.CODE_LABELS))
-    anchors = anchors.select(F.col("doc_id").alias("_d"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("pos").alias("anchor"), "stop")
+    kinds = F.array_compact(F.array(*[F.when(t.has_any(F.col("text"), FIELDS[f][0]), F.struct(F.lit(f).alias("field"), F.lit(FIELDS[f][1]).alias("left"), F.lit(FIELDS[f][2]).alias("below"))) for f in fields]))
+    anchors = anchors.select(F.col("doc_id").alias("_d"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("pos").alias("anchor"), "stop", F.inline(kinds))
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    left, below = (NAME_LEFT, NAME_BELOW) if name else (CODE_LEFT, CODE_BELOW)
-    near = ((dx > 0) & (F.abs(dy) <= SAME_LINE)) | ((dx >= -left) & (dy > 0) & (dy < below))
+    near = ((dx > 0) & (F.abs(dy) <= SAME_LINE)) | ((dx >= -F.col("left")) & (dy > 0) & (dy < F.col("below")))
     found = rows.join(anchors, (F.col("doc_id") == F.col("_d")) & (F.col("pos") > F.col("anchor")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop"))) & near)
-    value = t.area_name(F.col("text")) if name else t.area_code(F.col("text"))
-    return found.select("doc_id", "anchor", "pos", value.alias("value")).where("value <> ''")
+    value = F.coalesce(*[F.when(F.col("field") == f, FIELDS[f][3](F.col("text"))) for f in fields])
+    return found.select("doc_id", "field", "anchor", "pos", value.alias("value")).where("value <> ''")
+
+
+def field_texts(tokens: DataFrame, *fields: str) -> DataFrame:
+    """doc_id and each field's values glued together in order of anchors; documents without any have the empty string."""
+    glued = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("anchor", "pos", "value")))), lambda r: r["value"]), "")
+    found = located(tokens, *fields).groupBy(F.col("doc_id").alias("_d")).agg(*[glued(f).alias(f) for f in fields])
+    docs = shared(tokens.select("doc_id"), "doc_id").distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_d"), "left").select("doc_id", *[t.some(f).alias(f) for f in fields])
 
 
 def field_text(tokens: DataFrame, field: str) -> DataFrame:
-    """doc_id and the field's values glued together in order of anchors; documents without any have the empty string."""
-    rows = F.array_sort(F.collect_list(F.struct("anchor", "pos", "value")))
-    found = located(tokens, field).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["value"]), "").alias(field))
-    return tokens.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", t.some(field).alias(field))
+    """doc_id and one field."""
+    return field_texts(tokens, field)
 
 
 def region_fields(tokens: DataFrame) -> DataFrame:
     """doc_id, project_name, project_code, source by position."""
-    return field_text(tokens, "project_name").join(field_text(tokens, "project_code"), "doc_id").withColumn("source", F.lit("field_region"))
+    return field_texts(tokens, "project_name", "project_code").withColumn("source", F.lit("field_region"))
 
 
 def nearby_value(tokens: DataFrame, keyword: str, reach: int = 300) -> DataFrame:

@@ -35,19 +35,31 @@ def _keyed(line: Column, key: str) -> Column:
     return t.strip(F.translate(F.replace(line, F.lit(key), F.lit("")), v.COLONS, ""))
 
 
-def next_line_value(lines: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """doc_id, value of the first line with a key: what is left of it, else the next line (which may be blank)."""
+def _hit(keys: list[str]) -> Column:
+    """key_rank and value of the first key that stands in the line and has a value there or on the next line; null if none has."""
+    hits = []
+    for i, key in enumerate(keys):
+        value = F.coalesce(F.nullif(_keyed(F.col("line"), key), F.lit("")), t.strip(F.col("_next")))
+        hits.append(F.when(F.contains(F.col("line"), F.lit(key)) & value.isNotNull(), F.struct(F.lit(i).alias("key_rank"), value.alias("value"))))
+    return F.coalesce(*hits)
+
+
+def next_line_values(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """doc_id and, of each field, the value of the first line with one of its keys: what is left of it, else the next line (which may be blank)."""
     rows = lines.withColumn("_next", F.lead("line").over(_by_doc()))
-    hits = F.filter(F.array(*[F.struct(F.contains(F.col("line"), F.lit(k)).alias("hit"), F.lit(i).alias("key_rank"), F.when(_keyed(F.col("line"), k) != "", _keyed(F.col("line"), k)).otherwise(t.strip(F.col("_next"))).alias("value")) for i, k in enumerate(keys)]), lambda k: k["hit"] & k["value"].isNotNull())
-    first = F.get(F.col("_h"), F.lit(0))
-    rows = rows.withColumn("_h", hits)
-    return rows.groupBy("doc_id").agg(F.coalesce(F.min_by(first["value"], F.when(first.isNotNull(), F.struct("pos", first["key_rank"]))), F.lit("")).alias(out))
+    rows = rows.select("doc_id", "pos", *[_hit(keys).alias(out) for out, keys in fields.items()])
+    best = [F.min_by(F.col(out)["value"], F.when(F.col(out).isNotNull(), F.struct("pos", F.col(out)["key_rank"]))) for out in fields]
+    return rows.groupBy("doc_id").agg(*[F.coalesce(b, F.lit("")).alias(out) for b, out in zip(best, fields, strict=True)])
+
+
+def next_line_value(lines: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """doc_id, value of one field."""
+    return next_line_values(lines, {out: keys})
 
 
 def report_lines(lines: DataFrame) -> DataFrame:
     """doc_id, project_name, project_code by label lines."""
-    names, codes = next_line_value(lines, v.NAME_LABELS, "name"), next_line_value(lines, v.CODE_LABELS, "code")
-    found = names.join(codes, "doc_id")
+    found = next_line_values(lines, {"name": v.NAME_LABELS, "code": v.CODE_LABELS})
     code = t.longest(F.regexp_extract_all("code", F.lit(v.DASHED_CODE), F.lit(0)))
     return found.select("doc_id", t.strip(t.before(F.col("name"), v.LINE_STOPS)).alias("project_name"), t.stripped_code(code).alias("project_code"))
 

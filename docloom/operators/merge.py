@@ -36,7 +36,7 @@ def extracted(tokens: DataFrame, fixed: bool = False) -> DataFrame:
     return out.select("doc_id", "project_name", "project_code", "source", rules.report_type(F.col("project_code"), F.col("raw_text")).alias("report_type"), (F.col("project_name") != "").alias("valid"), F.lit("").alias("error"))
 
 
-def rename_results(fields: DataFrame) -> DataFrame:
-    """seq, path, project_name, project_code, status, message: one schema for successes and failures."""
+def rename_results(fields: DataFrame, *more: str) -> DataFrame:
+    """seq, path, project_name, project_code, status, message (and columns named): one schema for successes and failures."""
     ok = t.some("project_name") != ""
-    return fields.select("seq", "path", F.when(ok, F.col("project_name")).otherwise("").alias("project_name"), F.when(ok, t.some("project_code")).otherwise("").alias("project_code"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(ok, "").otherwise(t.some("error")).alias("message"))
+    return fields.select("seq", "path", *more, F.when(ok, F.col("project_name")).otherwise("").alias("project_name"), F.when(ok, t.some("project_code")).otherwise("").alias("project_code"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(ok, "").otherwise(t.some("error")).alias("message"))

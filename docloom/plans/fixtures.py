@@ -40,7 +40,9 @@ FROM {documents}"""
 
 CANDIDATES = """
 SELECT p_brand AS doc_id, p_partkey AS seq, p_name AS project_name,
-  CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('5513', p_type, 'OIS', cast(p_size AS string)) END AS project_code
+  CASE p_size % 7 WHEN 0 THEN '' WHEN 1 THEN concat('B113', cast(p_partkey AS string)) WHEN 2 THEN concat('c513', p_type, cast(p_size * 1000 AS string))
+    WHEN 3 THEN concat('181320', cast(p_partkey AS string), '-', cast(p_size AS string)) WHEN 4 THEN concat('5Z ', p_brand, 'OI') WHEN 5 THEN concat('B', cast(p_size AS string))
+    ELSE concat('5513', p_type, 'OIS', cast(p_size AS string)) END AS project_code
 FROM {part}"""
 
 SPARK = {"report_text": (REPORT_TEXT, "orders"), "ocr_tokens": (OCR_TOKENS, "lineitem"), "text_lines": (TEXT_LINES, "documents"), "input_files": (INPUT_FILES, "documents"), "candidates": (CANDIDATES, "part")}

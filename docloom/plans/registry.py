@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, scoring
 from ..functions import text as t
 from ..functions import vocab as v
-from ..operators import geometry, lines, merge, naming, report
+from ..operators import geometry, lines, merge, naming, ranks, report
 from ..sources import images
 from . import fixtures
 from . import oracles as o
@@ -100,7 +100,7 @@ _columns("file_type", "input_files", ["seq"], {"kind": (lambda: images.kind(F.co
 _columns("path_parts", "input_files", ["seq"], {"base": (lambda: t.base_name(F.col("path")), o.BASE), "suffix": (lambda: t.suffix(F.col("path")), o.SUFFIX), "stem": (lambda: t.stem(F.col("path")), o.STEM)})
 _add("image_scan_filter", "input_files", lambda r: r.where(images.is_image(F.col("path"))), f"SELECT seq, path FROM r WHERE lower({o.SUFFIX}) IN ({o.listed(v.IMAGE_SUFFIXES)})")
 _add("image_scan_narrow", "input_files", lambda r: r.where(images.is_image(F.col("path"), v.NARROW_SUFFIXES)), f"SELECT seq, path FROM r WHERE lower({o.SUFFIX}) IN ({o.listed(v.NARROW_SUFFIXES)})")
-_add("input_union", "input_files", lambda r: r.where("seq % 2 = 0").unionByName(r.where("seq % 3 = 0")), "SELECT seq, path FROM r WHERE seq % 2 = 0 UNION ALL SELECT seq, path FROM r WHERE seq % 3 = 0")
+_add("input_union", "input_files", lambda r: r.unionByName(r.where(images.is_image(F.col("path")))), f"SELECT seq, path FROM r UNION ALL SELECT seq, path FROM r WHERE lower({o.SUFFIX}) IN ({o.listed(v.IMAGE_SUFFIXES)})")
 _add("input_count", "input_files", lambda r: r.agg(F.count(F.lit(1)).alias("n_files")), "SELECT count(*) AS n_files FROM r")
 _add("waiting_status", "input_files", lambda r: report.waiting(r), "SELECT seq, path, '等待OCR' AS status FROM r")
 
@@ -110,7 +110,7 @@ _add("token_text", "ocr_tokens", geometry.token_text, "SELECT doc_id, string_agg
 _add("token_order", "ocr_tokens", lambda r: r.select("doc_id", "in_pos", F.row_number().over(o.token_window()).alias("pos")), "SELECT doc_id, in_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, in_pos) AS INTEGER) AS pos FROM r")
 _add("field_region_name", "ocr_tokens", lambda r: geometry.field_text(r, "project_name"), o.located("project_name"))
 _add("field_region_code", "ocr_tokens", lambda r: geometry.field_text(r, "project_code"), o.located("project_code"))
-_add("field_region_values", "ocr_tokens", lambda r: geometry.located(r, "project_name"), o.located_rows("project_name"))
+_add("field_region_values", "ocr_tokens", lambda r: geometry.located(r, "project_name").drop("field"), o.located_rows("project_name"))
 _add("nearby_value", "ocr_tokens", lambda r: geometry.nearby_value(r, "工程名称"), o.NEARBY)
 _add("merge_region_text", "ocr_tokens", lambda r: merge.extracted(geometry.kept_tokens(r)), o.EXTRACTED)
 
@@ -124,25 +124,26 @@ _add("window_code", "text_lines", lines.window_codes, o.WINDOW_CODE)
 _add("table_fields", "text_lines", lines.table_fields, o.TABLE_FIELDS)
 
 
-def _results(r: DataFrame) -> DataFrame:
-    """Results of the text-only pipeline, as rename results with their targets.
+def _parsed(r: DataFrame) -> DataFrame:
+    """Texts with their fields, which come out of a generator: it evaluates the patterns once however often they are used."""
+    return r.select(F.col("doc_id").alias("seq"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), "text", F.lit("").alias("error"), F.inline(F.array(fields())))
+
 
-    Fields come out of a generator, which evaluates the patterns once however often they are used.
-    """
-    found = r.select(F.col("doc_id").alias("seq"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.lit("").alias("error"), F.inline(F.array(fields())))
-    return merge.rename_results(found)
+def _results(r: DataFrame) -> DataFrame:
+    """Results of the text-only pipeline, as rename results with their targets."""
+    return merge.rename_results(_parsed(r))
 
 
 def _sheet(r: DataFrame) -> DataFrame:
     """The listing of a whole run: names made unique among the successes."""
-    rows = _results(r)
+    rows = ranks.shared(_results(r), "seq")
     names = naming.deduplicated(naming.planned(rows.where("status = 'success'")).select("seq", "filename")).select(F.col("seq").alias("_s"), "target")
     rows = rows.join(names, F.col("seq") == F.col("_s"), "left").withColumn("source", F.when(F.col("status") == "success", F.col("path"))).withColumn("file", F.col("path"))
     return report.result_sheet(rows).toDF("seq", "source", "project_name", "project_code", "target", "status")
 
 
 _add("status_report", "report_text", lambda r: report.status_report(_results(r)), o.STATUS)
-_add("report_status", "report_text", lambda r: _results(r).join(r.select("doc_id", rules.report_type(fields()["project_code"], text()).alias("report_type")), F.col("seq") == F.col("doc_id")).groupBy("report_type", "status").agg(F.count(F.lit(1)).alias("n"), F.max(t.name_then_code(name(), code(), F.lit(".jpg"))).alias("last_filename")), o.REPORT_STATUS)
+_add("report_status", "report_text", lambda r: merge.rename_results(_parsed(r).withColumn("report_type", rules.report_type(code(), text())), "report_type").groupBy("report_type", "status").agg(F.count(F.lit(1)).alias("n"), F.max(t.name_then_code(name(), code(), F.lit(".jpg"))).alias("last_filename")), o.REPORT_STATUS)
 _add("rename_results", "report_text", _results, o.RENAME)
 _add("result_sheet", "report_text", _sheet, o.SHEET)
 _add("error_records", "report_text", lambda r: report.error_records(_results(r.withColumn("text", F.when(F.col("doc_id") % 5 == 0, "").otherwise(text()))).withColumn("source", F.col("path")).withColumn("file", F.col("path"))), o.ERRORS)
