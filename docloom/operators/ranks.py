@@ -40,13 +40,24 @@ def ranked(df: DataFrame, key: str, chunk: Column, order: list[Column], out: str
     return joined.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_chunk", "_size", "_in", "_ok", "_oc", "_off")
 
 
+def count_upto(rows: DataFrame, bounds: list, value: Column, out: str) -> DataFrame:
+    """The rows with the number of bounds (rising) that are at most the value, by halving."""
+    known = F.array(*[F.lit(b) for b in bounds])
+    rows = rows.withColumn(out, F.lit(0))
+    for k in reversed(range(len(bounds).bit_length())):
+        rows = rows.withColumn(out, F.col(out) + F.when(F.get(known, F.col(out) + ((1 << k) - 1)) <= value, 1 << k).otherwise(0))
+    return rows
+
+
 def shared(df: DataFrame, *keys: str) -> DataFrame:
     """The same rows behind one exchange, which all branches of a plan that use them share.
 
-    Rows travel as one struct, so that branches that need fewer columns don't get exchanges of their own.
+    Rows travel whole, so that branches that need fewer columns don't get exchanges of their own: each is
+    the only element of an array, as the optimiser prunes the fields of a struct also below an exchange.
     """
-    packed = df.select(F.struct(*df.columns).alias("_row"))
-    return packed.repartition(*[F.col(f"_row.{k}") for k in keys]).select("_row.*")
+    row = F.element_at("_row", 1)
+    packed = df.select(F.array(F.struct(*df.columns)).alias("_row"))
+    return packed.repartition(*[row[k] for k in keys]).select(*[row[c].alias(c) for c in df.columns])
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, left: str, right: str, by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:

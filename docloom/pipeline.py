@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sinks
 from .functions import rules
-from .operators import merge, naming, report
+from .operators import merge, naming, ranks, report
 from .sources import tokens as token_source
 
+#: Paths that a listing's ranges are chosen from, and ranges at most.
+SAMPLED_PATHS, PATH_RANGES = 4096, 256
 
-def from_images(images: DataFrame, backend: Callable, fixed: bool = False) -> DataFrame:
-    """seq, path and the fields of each image (seq, path, content); a failed image keeps its message."""
-    found = token_source.recognised(images, backend)
+
+def from_images(images: DataFrame, backend: Callable, fixed: bool = False, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """seq, path and the fields of each image (seq, path, content), prepared first if wanted; a failed image keeps its message."""
+    found = token_source.recognised(images, backend, prepare)
     failed = found.where("error <> ''").groupBy("path").agg(F.first("error").alias("why"))
     rows = found.where("error = ''").withColumnRenamed("path", "doc_id")
     fields = merge.extracted(rows, fixed).drop("error")
@@ -46,5 +49,12 @@ def listed(plan: DataFrame, path: str) -> int:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """files with seq by path, for listings without an order of their own (driver-sized lists only)."""
-    return files.withColumn("seq", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    """files with seq by path, for listings without an order of their own.
+
+    Paths are cut into ranges by a sample of them and numbered range by range, so that no task holds all
+    files; only there does their content move.
+    """
+    sample = sorted(r.path for r in files.select("path").orderBy(F.xxhash64("path")).limit(SAMPLED_PATHS).collect())
+    bounds = sorted(set(sample[:: max(1, len(sample) // PATH_RANGES)]))
+    rows = ranks.count_upto(files, bounds, F.col("path"), "_range").withColumn("_all", F.lit(0))
+    return ranks.ranked(rows, "_all", F.col("_range"), [F.col("path")], "seq").drop("_all", "_range")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pipeline
+from . import pipeline, sinks
 from .operators import report
 from .sources import images
 
@@ -41,16 +41,33 @@ class Workflow:
         count = self.add(path)
         return {"count": count, "message": LOADED.format(count)}
 
-    def run(self, backend: Callable | None = None) -> DataFrame:
-        """The rename plan by a recogniser; without one, every file waits."""
+    def run(self, backend: Callable | None = None, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
+        """The rename plan by a recogniser; without one, every file waits. No target bears the name of a file that is in the output folder."""
         if backend is None:
             return report.waiting(self.files().select(F.col("path").alias("file")))
-        return pipeline.rename_plan(pipeline.from_images(pipeline.numbered(self.files()), backend), self.output)
+        fields = pipeline.from_images(pipeline.numbered(self.files()), backend, prepare=prepare)
+        return pipeline.rename_plan(fields, self.output, sinks.existing_names(self.spark, self.output))
 
     def finished(self) -> str:
         return FINISHED.format(self.output)
 
 
+class Controller:
+    """What a user interface holds: loading a path replaces what was loaded before, and starting runs over it."""
+
+    def __init__(self, spark: SparkSession, output: str = "output"):
+        self.spark, self.output, self.workflow = spark, output, None
+
+    def load_file(self, path: str) -> int:
+        """How many files the path holds."""
+        self.workflow = Workflow(self.spark, self.output)
+        return self.workflow.add(path)
+
+    def start(self, backend: Callable | None = None) -> DataFrame | list:
+        """The run over what is loaded; nothing if nothing is."""
+        return self.workflow.run(backend) if self.workflow else []
+
+
 def progress(spark: SparkSession) -> dict:
     """Tasks done and in all of the stages that run now, whole percent, and the state."""
     tracker = spark.sparkContext.statusTracker()

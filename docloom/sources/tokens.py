@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import os
+import shutil
+import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Languages that the program is called with, and the message where it is missing.
+PROGRAM_LANGUAGES, PROGRAM_MISSING = "chi_sim+eng", "OCR组件不存在"
 TOKENS = "path string, in_pos int, text string, conf string, x int, y int, w int, h int"
 GEOMETRY = ["left", "top", "width", "height"]
 
@@ -38,10 +44,11 @@ def tsv_tokens(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, TOKENS)
 
 
-def recognised(images: DataFrame, backend: Callable[[str, bytes], list[tuple]]) -> DataFrame:
+def recognised(images: DataFrame, backend: Callable[[str, bytes], list[tuple]], prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """Tokens of images (path, content) by a backend that gives (text, conf, x, y, w, h) per token; a failure gives none and its message.
 
-    Adds `error`: empty, or what the backend raised for that image (then the row's token is null).
+    `prepare` (such as preprocess.prepared) is applied to an image's bytes first. Adds `error`: empty, or
+    what either raised for that image (then the row's token is null).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +56,7 @@ def recognised(images: DataFrame, backend: Callable[[str, bytes], list[tuple]])
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows += [(path, i, *t, "") for i, t in enumerate(backend(path, bytes(content)))]
+                    rows += [(path, i, *t, "") for i, t in enumerate(backend(path, prepare(bytes(content)) if prepare else bytes(content)))]
                 except Exception as e:  # noqa: BLE001 - any failure of a backend is the image's own
                     rows.append((path, None, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "in_pos", "text", "conf", "x", "y", "w", "h", "error"]).astype({c: "Int32" for c in ("in_pos", "x", "y", "w", "h")})
@@ -57,6 +64,30 @@ def recognised(images: DataFrame, backend: Callable[[str, bytes], list[tuple]])
     return images.select("path", "content").mapInPandas(run, TOKENS + ", error string")
 
 
+class ProgramBackend:
+    """A backend out of a program that reads an image file and writes `output`.tsv: program image output -l languages tsv.
+
+    Each image is one call; its files lie in a folder of their own on the worker, which goes afterwards.
+    """
+
+    def __init__(self, program: str, data: str | None = None, languages: str = PROGRAM_LANGUAGES):
+        self.program, self.data, self.languages = program, data, languages
+
+    def __call__(self, path: str, content: bytes) -> list[tuple]:
+        if not shutil.which(self.program):
+            raise FileNotFoundError(PROGRAM_MISSING)
+        with tempfile.TemporaryDirectory() as folder:
+            image, output = f"{folder}/image{os.path.splitext(path)[1] or '.jpg'}", f"{folder}/output"
+            with open(image, "wb") as f:
+                f.write(content)
+            env = os.environ | ({"TESSDATA_PREFIX": self.data} if self.data else {})
+            ran = subprocess.run([self.program, image, output, "-l", self.languages, "tsv"], env=env, capture_output=True)
+            if not os.path.exists(f"{output}.tsv"):
+                raise RuntimeError(ran.stderr.decode("utf-8", "replace").strip() or f"{self.program} wrote nothing")
+            with open(f"{output}.tsv", encoding="utf-8", errors="replace", newline="") as f:
+                return parsed_tsv(f.read())
+
+
 class LineBackend:
     """A backend out of an engine that knows lines of text but no places.
 

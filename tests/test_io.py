@@ -81,7 +81,7 @@ def test_a_whole_run(spark, tmp_path):
     page = "工程名称 100 100\n示范线路 300 110\n工程编号 100 200\nB113-6 300 205\n".encode()
     for n, d in (("1.jpg", page), ("2.JPG", page), ("3.png", page), ("4.jpg", b"broken"), ("5.jpg", "无 1 1".encode()), ("6.jpg", page)):
         put(f"{tmp_path}/in/{n}", d)
-    files = images.scanned(spark, f"{tmp_path}/in", content=True).withColumn("path", F.regexp_replace("path", "^file:", ""))
+    files = images.scanned(spark, f"{tmp_path}/in", content=True)
     fields = pipeline.from_images(pipeline.numbered(files), backend)
     plan = pipeline.rename_plan(fields, f"{tmp_path}/out").cache()
     rows = plan.orderBy("seq").collect()
@@ -107,6 +107,75 @@ def test_a_whole_run(spark, tmp_path):
     assert zipfile.ZipFile(f"{tmp_path}/out.zip").testzip() is None
 
 
+def test_moves_never_overwrite_and_tell_what_an_earlier_run_did(spark, tmp_path):
+    """Present files survive, names avoid them, and a target that another file holds is no proof of a move."""
+    page = "工程名称 100 100\n甲线 300 110".encode()
+    put(f"{tmp_path}/in/1.jpg", page)
+    put(f"{tmp_path}/in/2.jpg", page + b"\nx 1 1")
+    put(f"{tmp_path}/out/甲线.jpg", b"present")
+    w = service.Workflow(spark, f"{tmp_path}/out")
+    w.add(f"{tmp_path}/in")
+    plan = w.run(backend).where("status = 'success'").select("source", "target").collect()
+    assert sorted(os.path.basename(r.target) for r in plan) == ["甲线_2.jpg", "甲线_3.jpg"]
+    plan = spark.createDataFrame(plan)
+    sinks.move_files(plan)
+    sinks.move_files(plan)
+    read = lambda n: open(f"{tmp_path}/out/{n}", "rb").read()
+    assert read("甲线.jpg") == b"present" and {read("甲线_2.jpg"), read("甲线_3.jpg")} == {page, page + b"\nx 1 1"} and os.listdir(f"{tmp_path}/in") == []
+    put(f"{tmp_path}/in/3.jpg", b"new")
+    clash = lambda s, t: spark.createDataFrame([(f"{tmp_path}/in/{s}", f"{tmp_path}/out/{t}")], "source string, target string")
+    with pytest.raises(Exception, match="FileExistsError"):
+        sinks.move_files(clash("3.jpg", "甲线.jpg"))
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        sinks.move_files(clash("gone.jpg", "甲线.jpg"))
+    assert read("甲线.jpg") == b"present" and os.path.exists(f"{tmp_path}/in/3.jpg")
+    os.link(f"{tmp_path}/in/3.jpg", f"{tmp_path}/out/half.jpg")  # an attempt that got half way
+    sinks.move_files(clash("3.jpg", "half.jpg"))
+    assert read("half.jpg") == b"new" and not os.path.exists(f"{tmp_path}/in/3.jpg")
+    with pytest.raises(ValueError):
+        sinks.local_path("hdfs://host/x")
+
+
+def test_archive_members_are_copied_out(spark, tmp_path):
+    page = "工程名称 1 1\n乙线 9 1"
+    put(f"{tmp_path}/a.zip", archive(d__iDOTjpg=page, jDOTpng=page, kDOTpng="无 1 1"))
+    c = service.Controller(spark, f"{tmp_path}/out")
+    assert c.start() == [] and c.load_file(f"{tmp_path}/a.zip") == 3 == c.load_file(f"{tmp_path}/a.zip")
+    plan = c.start(backend).where("status = 'success'")
+    sinks.move_files(plan)
+    sinks.move_files(plan.withColumn("target", F.regexp_replace("target", "_2", "")))  # the same run, had the folder been empty
+    assert {n: open(f"{tmp_path}/out/{n}").read() for n in os.listdir(f"{tmp_path}/out") if "_" not in n} == {"乙线.jpg": page, "乙线.png": page}
+    files = images.members(spark.read.format("binaryFile").load(f"{tmp_path}/a.zip"))
+    put(f"{tmp_path}/x/old.txt")
+    sinks.write_members(files, f"{tmp_path}/x")
+    assert sorted(os.listdir(f"{tmp_path}/x")) == ["d", "j.png", "k.png"]
+    with pytest.raises(Exception, match="leads out"):
+        sinks.write_members(spark.createDataFrame([("../y", bytearray(b""))], "member string, content binary"), f"{tmp_path}/x", clear=False)
+    sinks.write_text_files(spark.createDataFrame([("p", "甲"), ("q", None)], "stem string, text string"), f"{tmp_path}/texts")
+    assert {n: open(f"{tmp_path}/texts/{n}", encoding="utf-8").read() for n in os.listdir(f"{tmp_path}/texts")} == {"p.txt": "甲", "q.txt": ""}
+
+
+def test_numbers_follow_paths(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "SAMPLED_PATHS", 40)
+    paths = [f"/in/{i * 7919 % 500:04}.jpg" for i in range(500)] + ["/in/0007.jpg"]
+    rows = pipeline.numbered(spark.createDataFrame([(p, bytearray(p.encode())) for p in paths], "path string, content binary")).orderBy("seq").collect()
+    assert [r.path for r in rows] == sorted(paths) and [r.seq for r in rows] == list(range(501)) and all(r.content.decode() == r.path for r in rows)
+    assert pipeline.numbered(spark.createDataFrame([], "path string, content binary")).count() == 0
+
+
+def test_a_program_as_recogniser(spark, tmp_path):
+    """A stub that is called as the program is, with prepared bytes; a missing one and a failing one are the image's own error."""
+    stub = tmp_path / "ocr"
+    stub.write_text('#!/bin/sh\n[ "$3" = "-l" ] && [ "$5" = "tsv" ] || exit 3\ngrep -q bad "$1" && { echo "no image" >&2; exit 1; }\nprintf "text\\tconf\\tleft\\ttop\\twidth\\theight\\n%s\\t90\\t1\\t2\\t3\\t4\\n\\t-1\\t0\\t0\\t0\\t0\\n" "$(cat "$1")" > "$2.tsv"\n')
+    stub.chmod(0o755)
+    pages = spark.createDataFrame([("a.jpg", bytearray(b"one")), ("b.png", bytearray(b"bad"))], "path string, content binary")
+    found = {r.path: (r.text, r.x, r.error) for r in tokens.recognised(pages, tokens.ProgramBackend(str(stub), languages="eng"), lambda c: c[::-1] if c == b"one" else c).collect()}
+    assert found == {"a.jpg": ("eno", 1, ""), "b.png": (None, None, "no image")}
+    assert {r.error for r in tokens.recognised(pages, tokens.ProgramBackend("no-such-program")).collect()} == {"OCR组件不存在"}
+    fields = pipeline.from_images(pages.selectExpr("0L AS seq", "*"), backend, prepare=lambda c: 1 / 0).collect()
+    assert {r.error for r in fields} == {"division by zero"}
+
+
 def test_text_run_and_partitioned_sinks(spark, tmp_path):
     texts = spark.createDataFrame([(0, "/a.jpg", "我方完成甲项目开工前"), (1, "/b.jpg", "")], "seq long, path string, text string")
     plan = pipeline.rename_plan(pipeline.from_texts(texts), "/out", spark.createDataFrame([("甲.jpg",)], "filename string"))
