@@ -242,13 +242,15 @@ def _table_field(field: str) -> str:
 TABLE_FIELDS = f"""SELECT d.doc_id, coalesce(n.value, '') AS project_name, coalesce(c.value, '') AS project_code FROM (SELECT DISTINCT doc_id FROM r) d
 LEFT JOIN {_table_field('project_name')} n ON n.doc_id = d.doc_id LEFT JOIN {_table_field('project_code')} c ON c.doc_id = d.doc_id"""
 
-_FOUND = f", f AS (SELECT doc_id, text, {REPORT_NAME} AS project_name, {REPORT_CODE} AS code FROM r), s AS (SELECT doc_id, text, code AS any_code, project_name, CASE WHEN project_name <> '' THEN code ELSE '' END AS project_code, CASE WHEN project_name <> '' THEN 'success' ELSE 'failed' END AS status FROM f)"
-STATUS = f"{_FOUND} SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed FROM s"
+RESULTS = f", f AS (SELECT doc_id, text, {REPORT_NAME} AS project_name, {REPORT_CODE} AS code FROM r), s AS (SELECT doc_id, text, code AS any_code, project_name, CASE WHEN project_name <> '' THEN code ELSE '' END AS project_code, CASE WHEN project_name <> '' THEN 'success' ELSE 'failed' END AS status FROM f)"
+STATUS = f"{RESULTS} SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed FROM s"
 _TYPE = f"CASE WHEN any_code <> '' THEN 'finish' WHEN {any_of('text', v.START_PHRASES)} THEN 'start' ELSE '' END"
-REPORT_STATUS = f"{_FOUND} SELECT {_TYPE} AS report_type, status, count(*) AS n, max(concat({safe('project_name')}, {safe('project_code')}, '.jpg')) AS last_filename FROM s GROUP BY ALL"
-RENAME = f"{_FOUND} SELECT doc_id AS seq, concat('/in/', doc_id, '.jpg') AS path, project_name, project_code, status, '' AS message FROM s"
+REPORT_STATUS = f"{RESULTS} SELECT {_TYPE} AS report_type, status, count(*) AS n, max(concat({safe('project_name')}, {safe('project_code')}, '.jpg')) AS last_filename FROM s GROUP BY ALL"
+RENAME = f"{RESULTS} SELECT doc_id AS seq, concat('/in/', doc_id, '.jpg') AS path, project_name, project_code, status, '' AS message FROM s"
 _FILE = f"concat({safe('project_name')}, {safe('project_code')})"
-SHEET = f"""{_FOUND}, u AS (SELECT doc_id, {_FILE} AS stem, row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id) AS k FROM s WHERE status = 'success')
+SHEET = f"""{RESULTS}, u AS (SELECT doc_id, {_FILE} AS stem, row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id) AS k FROM s WHERE status = 'success')
 SELECT s.doc_id AS seq, concat('/in/', s.doc_id, '.jpg') AS source, project_name, project_code, coalesce(concat(u.stem, CASE WHEN k > 1 THEN concat('_', k) ELSE '' END, CASE WHEN u.stem IS NOT NULL THEN '.jpg' END), '') AS target, status
 FROM s LEFT JOIN u ON u.doc_id = s.doc_id"""
 ERRORS = f"""SELECT concat('/in/', doc_id, '.jpg') AS file, '无法识别工程信息' AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {REPORT_NAME} END AS name FROM r) WHERE name = ''"""
+#: Without the file, a failure has no source.
+RENAME_SHEET = SHEET.replace("concat('/in/', s.doc_id, '.jpg') AS source", "CASE WHEN status = 'success' THEN concat('/in/', s.doc_id, '.jpg') ELSE '' END AS source")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..functions import rules, scoring
 from ..functions import text as t
 from ..functions import vocab as v
 from ..operators import geometry, lines, merge, naming, ranks, report
-from ..sources import images
+from ..sources import images, tokens
 from . import fixtures
 from . import oracles as o
 
@@ -114,6 +117,41 @@ _add("field_region_values", "ocr_tokens", lambda r: geometry.located(r, "project
 _add("nearby_value", "ocr_tokens", lambda r: geometry.nearby_value(r, "工程名称"), o.NEARBY)
 _add("merge_region_text", "ocr_tokens", lambda r: merge.extracted(geometry.kept_tokens(r)), o.EXTRACTED)
 
+
+
+def _tsv(r: DataFrame) -> DataFrame:
+    """One TSV file per document, parsed by the source."""
+    line = F.concat_ws("\t", "text", "conf", "x", "y", "w", "h")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("in_pos", line.alias("line")))), lambda t_: t_["line"]), "\n")
+    files = r.groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.encode(F.concat(F.lit("text\tconf\tleft\ttop\twidth\theight\n"), body), "UTF-8").alias("content"))
+    return tokens.tsv_tokens(files)
+
+
+def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An archive of two members per file: the file itself and a note."""
+    for batch in batches:
+        out = []
+        for seq, path in zip(batch["seq"], batch["path"], strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr(path.lstrip("/"), path)
+                z.writestr("note.txt", str(seq))
+            out.append((f"{seq}.zip", held.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def _members(r: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
+    """Members of one archive per file."""
+    found = images.members(r.select("seq", "path").mapInPandas(_zipped, "path string, content binary"), suffixes)
+    return found.select("path", "member", F.decode("content", "UTF-8").alias("text"))
+
+
+_add("tsv_tokens", "ocr_tokens", _tsv, "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY in_pos) - 1 AS INTEGER) AS in_pos, text, conf, x, y, w, h FROM r WHERE trim(text) <> '' AND conf <> '-1'")
+_MEMBERS = "SELECT concat(seq, '.zip') AS path, ltrim(path, '/') AS member, path AS text FROM r"
+_add("archive_members", "input_files", _members, f"{_MEMBERS} UNION ALL SELECT concat(seq, '.zip'), 'note.txt', CAST(seq AS VARCHAR) FROM r")
+_add("archive_images", "input_files", lambda r: _members(r, v.IMAGE_SUFFIXES), f"{_MEMBERS} WHERE lower({o.SUFFIX}) IN ({o.listed(v.IMAGE_SUFFIXES)})")
+_add("recognised_tokens", "input_files", lambda r: tokens.recognised(r.select("path", F.encode("path", "UTF-8").alias("content")), _shout).select("path", "in_pos", "text", "error"), "SELECT path, CASE WHEN path LIKE '%.zip' THEN NULL ELSE CAST(0 AS INTEGER) END AS in_pos, CASE WHEN path LIKE '%.zip' THEN NULL ELSE upper(path) END AS text, CASE WHEN path LIKE '%.zip' THEN concat('no image: ', path) ELSE '' END AS error FROM r")
+
 # Lines
 _add("regions", "text_lines", lambda r: lines.regions(r).select("doc_id", "pos", "key_rank", F.array_join("region", "\n").alias("region")), o.REGIONS)
 _add("region_text", "text_lines", lambda r: lines.region_text(lines.regions(r)), o.REGION_TEXT)
@@ -129,21 +167,30 @@ def _parsed(r: DataFrame) -> DataFrame:
     return r.select(F.col("doc_id").alias("seq"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), "text", F.lit("").alias("error"), F.inline(F.array(fields())))
 
 
+def _shout(path: str, content: bytes) -> list[tuple]:
+    """A recogniser that reads an image's bytes as its text and fails on archives."""
+    if path.endswith(".zip"):
+        raise ValueError(f"no image: {path}")
+    return [(content.decode().upper(), "90", 0, 0, 0, 0)]
+
+
 def _results(r: DataFrame) -> DataFrame:
     """Results of the text-only pipeline, as rename results with their targets."""
     return merge.rename_results(_parsed(r))
 
 
-def _sheet(r: DataFrame) -> DataFrame:
+def _sheet(r: DataFrame, file_too: bool = True) -> DataFrame:
     """The listing of a whole run: names made unique among the successes."""
     rows = ranks.shared(_results(r), "seq")
     names = naming.deduplicated(naming.planned(rows.where("status = 'success'")).select("seq", "filename")).select(F.col("seq").alias("_s"), "target")
     rows = rows.join(names, F.col("seq") == F.col("_s"), "left").withColumn("source", F.when(F.col("status") == "success", F.col("path"))).withColumn("file", F.col("path"))
-    return report.result_sheet(rows).toDF("seq", "source", "project_name", "project_code", "target", "status")
+    return report.result_sheet(rows, file_too).toDF("seq", "source", "project_name", "project_code", "target", "status")
 
 
 _add("status_report", "report_text", lambda r: report.status_report(_results(r)), o.STATUS)
 _add("report_status", "report_text", lambda r: merge.rename_results(_parsed(r).withColumn("report_type", rules.report_type(code(), text())), "report_type").groupBy("report_type", "status").agg(F.count(F.lit(1)).alias("n"), F.max(t.name_then_code(name(), code(), F.lit(".jpg"))).alias("last_filename")), o.REPORT_STATUS)
 _add("rename_results", "report_text", _results, o.RENAME)
 _add("result_sheet", "report_text", _sheet, o.SHEET)
+_add("rename_sheet", "report_text", lambda r: _sheet(r, file_too=False), o.RENAME_SHEET)
+_add("error_struct", "report_text", lambda r: _results(r).select("seq", report.error(F.when(F.col("status") != "success", F.col("path")), F.nullif("message", F.lit(""))).alias("e")).select("seq", "e.file", "e.reason"), f"{o.RESULTS} SELECT doc_id AS seq, CASE WHEN status <> 'success' THEN concat('/in/', doc_id, '.jpg') ELSE '' END AS file, '' AS reason FROM s")
 _add("error_records", "report_text", lambda r: report.error_records(_results(r.withColumn("text", F.when(F.col("doc_id") % 5 == 0, "").otherwise(text()))).withColumn("source", F.col("path")).withColumn("file", F.col("path"))), o.ERRORS)
