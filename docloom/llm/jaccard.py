@@ -11,8 +11,8 @@ verify - and a pair is a candidate if it shares as many prefix shingles as the s
 Candidates come from runs of rows with the same prefix shingle. Pairs are counted in short runs. In a
 longer run counting would list all its pairs, so its rows are linked with a few leaders instead, which
 keeps every pair that the run holds in one cluster: a chain of leaders over sizes that could match,
-where one task reads the run, and for shingles that the counting table shows to be hot, the least row of
-each band of sizes, found by an aggregate that no single task has to gather.
+and where the counting table shows a shingle to be hot, its run is read in pieces by many tasks, whose
+leaders are linked in turn.
 
 Candidate links make clusters, and documents of a cluster are verified on whole sets in tiles of bounded
 size. To count links, all pairs of tiles of a cluster are compared. For components alone that isn't
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +49,14 @@ PERCENT = 80
 #: The counting table has 2 ** COUNT_BITS counters, more for more rows, up to 2 ** MOST_COUNT_BITS (64 MB
 #: when sent out), and is sent about in pieces.
 COUNT_BITS, MOST_COUNT_BITS, PIECE = 20, 24, 1 << 12
-#: Runs of up to so many rows are paired up; shingles counted more often than HOT_RUN don't make runs.
-SHORT_RUN, HOT_RUN = 48, 1024
+#: Runs of up to so many rows are paired up; shingles counted more often than HOT_RUN
+#: are read in HOT_SALTS pieces.
+SHORT_RUN, HOT_RUN, HOT_SALTS = 48, 1024, 64
 #: Cost model: candidates that a prefix shingle brings though the counting table can't show it, and the
 #: cost of verifying one shingle in units of counting one prefix shingle.
 UNSEEN, VERIFY = 0.02, 0.1
 #: Documents of a verification tile, and leaders that each tile of a larger cluster is compared with.
-TILE, LEADERS = 256, 16
+TILE, LEADERS = 128, 8
 #: Bits per id of the filter that keeps documents without candidates from being read again, and bounds of its size (32 MB).
 FILTER_EACH, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 16, 28
 
@@ -121,34 +122,40 @@ def candidates(docs: DataFrame, rows: DataFrame, counts: np.ndarray, percent: in
     spark = docs.sparkSession
     usual = float(counts.mean())
     shared = spark.sparkContext.broadcast(counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
-
     hot_from = HOT_RUN + 2 * usual  # as a counter may hold so much by chance
+    reps = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).select(F.col("rep").alias("id")), "classes")
+    place, inside = members(docs, reps)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
+            batch = batch.filter(pa.array(inside(batch.column("_place"))))
             ids, ns, ls, tokens, hot = [], [], [], [], []
             for i, s in zip(batch.column("doc_id").to_pylist(), shingler.sets(batch.column("text").to_pylist()), strict=True):
                 if len(s):
-                    matches_, own = prefix(s, shared.value, usual, percent)
+                    enough, own = prefix(s, shared.value, usual, percent)
                     often = shared.value[own >> np.uint64(65 - len(shared.value).bit_length())] > hot_from
-                    ids.append(i), ns.append(len(s)), ls.append(matches_), tokens.append(own[~often].view(np.int64)), hot.append(own[often].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int32()), "l": pa.array(ls, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.int64()))})
+                    ids.append(i), ns.append(len(s)), ls.append(enough), tokens.append(own.view(np.int64)), hot.append(often)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int32()), "l": pa.array(ls, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.bool_()))})
 
-    reps = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).select(F.col("rep").alias("id")), "classes")
-    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = passing(some, reps, True).mapInArrow(prefixes, "doc_id long, n int, l int, tokens array<long>, hot array<long>")
-    found = written(found.join(reps, F.col("doc_id") == F.col("id"), "left_semi"), "prefixes")
-    dealt = found.select(F.explode("tokens").alias("token"), "doc_id", "n", "l").repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("_place"))
+    found = found.mapInArrow(prefixes, "doc_id long, n int, l int, tokens array<long>, hot array<boolean>")
+    found = found.join(reps, F.col("doc_id") == F.col("id"), "left_semi")
+    found = found.select("hot", F.posexplode("tokens").alias("_at", "token"), "doc_id", "n", "l")
+    salt = F.when(F.get("hot", F.col("_at")), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS))).otherwise(-1).cast("int")
+    found = found.select("token", "doc_id", "n", "l", salt.alias("salt")).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return Runs(percent).all(batches)
 
-    links = dealt.mapInArrow(runs, "a long, b long, shared long, needed int")
-    links = links.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
-    links = links.where("shared >= needed").select("a", "b")
-    out = written(links.unionAll(hot_links(found.select(F.explode("hot").alias("token"), "doc_id", band_of(F.col("n"), percent).alias("band")))), "candidates")
-    dropped(found)
+    links = found.mapInArrow(runs, "a long, b long, shared long, needed int, head boolean")
+    links = links.groupBy("a", "b", "head").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
+    links = written(links.where("head OR shared >= needed").select("a", "b", "needed", "head"), "candidates")
+    heads = links.where("head").select(F.col("a").alias("token"), F.col("b").alias("doc_id"), band_of(F.col("needed"), percent).alias("band"))
+    if heads.limit(1).count() == 0:
+        return links
+    out = written(links.where("NOT head").select("a", "b").unionAll(head_links(heads)), "candidates")
+    dropped(links)
     return out
 
 
@@ -157,29 +164,37 @@ def band_of(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent * (1 + 1e-6))).cast("int") if percent < 100 else n.cast("int")
 
 
-def hot_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of the rows (token, doc_id, band) with the least row of their token and band, and of those of neighbouring bands."""
-    key = F.struct("token", "band")
-    heads = written(rows.groupBy("token", "band").agg(F.min("doc_id").alias("head")), "heads")
-    rows = rows.select("doc_id", key.alias("_key"))
-    to_head = spread_join(rows, heads.select(key.alias("_run"), "head"), "_key", "_run", ["doc_id"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    below = heads.select(F.col("token").alias("_t"), (F.col("band") + 1).alias("_b"), F.col("head").alias("low"))
-    between = heads.join(below, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b"))).select(F.col("head").alias("a"), F.col("low").alias("b"))
-    return to_head.unionAll(between).where("a <> b").distinct()
+def head_links(heads: DataFrame) -> DataFrame:
+    """Links (a, b) of the leaders (token, doc_id, band) of a hot shingle: with the least of their band, and those of bands up to two apart.
+
+    A row is at most a band above its leader, so leaders of similar rows are at most two bands apart.
+    """
+    least = heads.groupBy("token", "band").agg(F.min("doc_id").alias("least")).select(F.col("token").alias("_t"), F.col("band").alias("_b"), "least")
+    near = heads.withColumn("below", F.explode(F.array(*[F.col("band") - k for k in range(3)])))
+    return near.join(least, (F.col("token") == F.col("_t")) & (F.col("below") == F.col("_b"))).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
 
 
 class Runs:
-    """Reads rows sorted by (token, n, doc_id) and gives links of the runs of equal tokens."""
+    """Reads rows sorted by (token, salt, n, doc_id) and gives links of the runs of equal tokens.
+
+    Rows are (token, doc_id, n, l, salt). A salt of 0 or more marks a piece of a hot token's run: it is
+    long, however few rows it has, and its leaders come out too, as (token, leader, 0, n, True).
+    """
 
-    SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("needed", pa.int32())])
+    SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("needed", pa.int32()), ("head", pa.bool_())])
     FLUSH = 1 << 18
 
     def __init__(self, percent: int):
         self.percent = percent
         self.pairs: list[np.ndarray] = []
+        self.heads: list[tuple[int, int, int]] = []
         self.held = 0
 
     def _give(self) -> Iterator[pa.RecordBatch]:
+        if self.heads:
+            tokens, leaders, ns = zip(*self.heads, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(leaders, pa.int64()), pa.array([0] * len(ns), pa.int64()), pa.array(ns, pa.int32()), pa.array([True] * len(ns))], schema=self.SCHEMA)
+            self.heads = []
         if not self.pairs:
             return
         rows = np.concatenate(self.pairs)
@@ -187,7 +202,7 @@ class Runs:
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
         shared, needed = np.add.reduceat(rows[:, 2], first), np.minimum.reduceat(rows[:, 3], first)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(shared), pa.array(needed.astype(np.int32))], schema=self.SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(shared), pa.array(needed.astype(np.int32)), pa.array(np.zeros(len(first), bool))], schema=self.SCHEMA)
 
     def _add(self, a: np.ndarray, b: np.ndarray, shared: int, needed: np.ndarray | int) -> None:
         keep = a != b
@@ -199,28 +214,28 @@ class Runs:
             self.held += len(rows)
 
     def all(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4, 0), np.int64)
-        chain = None  # (token, leader, its n, last row, its n) of a long run that goes on
+        rest = np.zeros((5, 0), np.int64)
+        chain = None  # ((token, salt), leader, its n, last row, its n) of a long run that goes on
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])], axis=1)
+            own = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]
+            rows = np.concatenate([rest, np.stack([*own, np.full(batch.num_rows, -1)][:5])], axis=1)
             if not rows.shape[1]:
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], (rows[::4, 1:] != rows[::4, :-1]).any(0)]))
             stops = np.append(starts[1:], rows.shape[1])
             sizes = stops - starts
-            if chain and chain[0] != rows[0, 0]:
+            if chain and chain[0] != (rows[0, 0], rows[4, 0]):
                 chain = None
-            long = sizes > SHORT_RUN
+            long = (sizes > SHORT_RUN) | (rows[4, starts] >= 0)
             long[0] |= chain is not None
-            long[-1] |= False
             open_from = rows.shape[1] if long[-1] else starts[-1]  # the last short run may go on
             for k in np.flatnonzero(long):
-                chain = self._chain(rows[:, starts[k] : stops[k]], chain if chain and chain[0] == rows[0, starts[k]] else None)
+                chain = self._chain(rows[:, starts[k] : stops[k]], chain if chain and chain[0] == (rows[0, starts[k]], rows[4, starts[k]]) else None)
             closed = ~long
             closed[-1] = False
             self._short(rows, starts[closed], sizes[closed])
             rest = rows[:, open_from:]
-            if self.held >= self.FLUSH:
+            if self.held + len(self.heads) >= self.FLUSH:
                 yield from self._give()
         if rest.shape[1]:
             self._short(rest, np.zeros(1, np.int64), np.array([rest.shape[1]]))
@@ -238,8 +253,11 @@ class Runs:
             self._add(rows[1, x], rows[1, y], 1, np.minimum(rows[3, x], rows[3, y]))
 
     def _chain(self, rows: np.ndarray, chain: tuple | None) -> tuple:
-        token, docs, ns = rows[0, 0], rows[1], rows[2]
-        leader, leader_n, last, last_n = chain[1:] if chain else (docs[0], ns[0], docs[0], ns[0])
+        key, docs, ns = (rows[0, 0], rows[4, 0]), rows[1], rows[2]
+        if chain is None:
+            chain = key, docs[0], ns[0], docs[0], ns[0]
+            self._lead(key, docs[0], ns[0])
+        leader, leader_n, last, last_n = chain[1:]
         at = 0
         while at < len(docs):
             end = int(np.searchsorted(ns, 100 * leader_n // self.percent, "right"))
@@ -250,8 +268,13 @@ class Runs:
                 if 100 * last_n >= self.percent * ns[at]:
                     self._add(np.array([last]), docs[at : at + 1], 0, 0)
                 leader, leader_n, last, last_n = docs[at], ns[at], docs[at], ns[at]
+                self._lead(key, leader, leader_n)
                 at += 1
-        return token, leader, leader_n, last, last_n
+        return key, leader, leader_n, last, last_n
+
+    def _lead(self, key: tuple, leader: int, n: int) -> None:
+        if key[1] >= 0:
+            self.heads.append((int(key[0]), int(leader), int(n)))
 
 
 def member_filter(ids: DataFrame, bits: int) -> np.ndarray:
@@ -264,21 +287,18 @@ def member_filter(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def passing(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
-    """The rows that the filter over `ids` (column id) lets through, or those that it doesn't."""
+def members(docs: DataFrame, ids: DataFrame) -> tuple[Column, Callable[[pa.Array], np.ndarray]]:
+    """A column of a row's place in the filter over `ids` (column id), and a function that tells for such places what passes."""
     size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (FILTER_EACH * ids.count()).bit_length()))
     bits = docs.sparkSession.sparkContext.broadcast(member_filter(ids, size))
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(batch.num_columns - 1).fill_null(0).to_numpy()
-            # bitmap_bucket_number(x) is 1 + (x - 1) // 32768 for x > 0, else 0; bitmap_bit_position(x) is (x - 1) % 32768, or 0
-            bucket, bit = np.where(place > 0, 1 + (place - 1) // 32768, 0), np.where(place > 0, (place - 1) % 32768, 0)
-            hit = (bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == inside)).select(list(range(batch.num_columns - 1)))
+    def inside(places: pa.Array) -> np.ndarray:
+        place = places.fill_null(0).to_numpy()
+        # bitmap_bucket_number(x) is 1 + (x - 1) // 32768 for x > 0, else 0; bitmap_bit_position(x) is (x - 1) % 32768, or 0
+        bucket, bit = np.where(place > 0, 1 + (place - 1) // 32768, 0), np.where(place > 0, (place - 1) % 32768, 0)
+        return (bits.value[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << size)).alias(fresh(docs, "_place"))
-    return docs.select("*", place).mapInArrow(passed, docs.schema)
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << size)), inside
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -290,24 +310,35 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     plain_unions(docs.sparkSession)
     own = fresh(docs, "_id")
-    maybe = passing(docs, ids, True)
-    return passing(docs, ids, False).union(maybe.join(ids.withColumnRenamed("id", own), F.col("doc_id") == F.col(own), "left_anti"))
+    place, inside = members(docs, ids)
+
+    def passing(wanted: bool) -> DataFrame:
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                last = batch.num_columns - 1
+                yield batch.filter(pa.array(inside(batch.column(last)) == wanted)).select(list(range(last)))
+
+        return docs.select("*", place.alias(fresh(docs, "_place"))).mapInArrow(passed, docs.schema)
+
+    return passing(False).union(passing(True).join(ids.withColumnRenamed("id", own), F.col("doc_id") == F.col(own), "left_anti"))
 
 
 def sets_of(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """c, m (the cluster's documents), doc_id, n, shingles of every document of a cluster (node, component), written down."""
     counted = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
-    members = spread_join(clusters, counted, "component", "_c", ["node"])
+    of = spread_join(clusters, counted, "component", "_c", ["node"])
+    place, inside = members(docs, clusters.select(F.col("node").alias("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
+            batch = batch.filter(pa.array(inside(batch.column("_place"))))
             found = shingler.sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in found], pa.int64()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    wanted = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = passing(wanted, clusters.select(F.col("node").alias("id")), True).mapInArrow(sets, "doc_id long, n long, shingles binary").where("n > 0")
-    return written(wanted.join(members, F.col("doc_id") == F.col("node")).select(F.col("component").alias("c"), "m", "doc_id", "n", "shingles"), "sets")
+    wanted = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("_place"))
+    wanted = wanted.mapInArrow(sets, "doc_id long, n long, shingles binary").where("n > 0")
+    return written(wanted.join(of, F.col("doc_id") == F.col("node")).select(F.col("component").alias("c"), "m", "doc_id", "n", "shingles"), "sets")
 
 
 def tile_of(count: Column) -> tuple[Column, Column]:

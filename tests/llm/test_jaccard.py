@@ -6,8 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard
-from docloom.llm.graph import components
+from docloom.llm import graph, jaccard
 from docloom.llm.shingles import Shingler
 
 from .fixtures import DOCS, awkward, many, words
@@ -42,7 +41,7 @@ def test_join_is_brute_force(spark, rows):
         assert sorted(map(tuple, found), key=repr) == brute(rows)
 
 
-@pytest.mark.parametrize(("short", "hot", "tile", "leaders"), [(48, 1024, 256, 16), (3, 2, 8, 2), (2, 0, 4, 1)])
+@pytest.mark.parametrize(("short", "hot", "tile", "leaders"), [(48, 1024, 256, 16), (3, 2, 8, 2), (2, -1000, 4, 1)])
 def test_components_of_large_clusters(spark, monkeypatch, short, hot, tile, leaders):
     """Groups of near copies, chains from one text to another, and texts that share passages but aren't similar, in many sizes."""
     for name, value in (("SHORT_RUN", short), ("HOT_RUN", hot), ("TILE", tile), ("LEADERS", leaders)):
@@ -149,6 +148,12 @@ def test_runs_do_not_depend_on_batches():
                 out[a, c] = was[0] + s, min(was[1], n)
         return out
     assert links(7) == links(10**6) == links(1)
+    hot = sorted((t, k, n, d, m) for t, n, d, m in rows for k in ((d % 3,) if t % 2 else (-1,)))
+    def pieces(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in hot[a : a + size]], pa.int64()) for i in (0, 3, 2, 4, 1)], names=list("tdnls")) for a in range(0, len(hot), size)]
+        out = [r for b in jaccard.Runs(80).all(iter(batches)) for r in b.to_pylist()]
+        return sorted({(r["a"], r["b"], r["head"]) for r in out}), {r["a"] for r in out if r["head"]}
+    assert pieces(7) == pieces(10**6) == pieces(1) and pieces(7)[1] == {t for t, k, *_ in hot if k >= 0}
 
 
 def test_shingles_ignore_case_and_batches():
@@ -158,10 +163,20 @@ def test_shingles_ignore_case_and_batches():
     assert (together[0] == together[1]).all() and [len(s) for s in together] == [2, 2, 0, 0, 1, 1, 1]
 
 
-def test_components_of_paths_and_stars(spark):
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    r = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(200, 200)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+    edges += [(r.randrange(300, 500), r.randrange(300, 500)) for _ in range(90)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            low = min(want.get(a, a), want.get(b, b))
+            joined = {want.get(a, a), want.get(b, b)}
+            want |= {a: low, b: low} | {n: low for n, c in want.items() if c in joined}
+    for few in (graph.FEW_EDGES, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        found = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert found == want
 
 
 def test_without_keeps_everything_else(spark):
