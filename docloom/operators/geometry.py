@@ -28,15 +28,19 @@ def token_text(tokens: DataFrame, sep: str = "\n") -> DataFrame:
 FIELDS = {"project_name": (v.NAME_LABELS, NAME_LEFT, NAME_BELOW, t.area_name), "project_code": (v.CODE_LABELS, CODE_LEFT, CODE_BELOW, t.area_code)}
 
 
+def dealt(tokens: DataFrame) -> DataFrame:
+    """doc_id, in_pos, x, y, text behind one exchange by document, which all that is made of the rows can use."""
+    return shared(tokens.select("doc_id", "in_pos", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), t.some("text").alias("text")), "doc_id")
+
+
 def located(tokens: DataFrame, *fields: str) -> DataFrame:
     """doc_id, field, anchor, pos, value: for each anchor, every value right of or below it, up to the next stop word.
 
-    Tokens are dealt by document once, for all fields together; the window that finds each anchor's stop
-    and the self-join on the document use that same exchange.
+    All fields go together, and the window that finds each anchor's stop and the self-join on the document
+    use one exchange, if the tokens are :func:`dealt`.
     """
     order = Window.partitionBy("doc_id").orderBy("y", "x", "in_pos")
-    rows = tokens.select("doc_id", "in_pos", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), t.some("text").alias("text"))
-    rows = shared(rows, "doc_id").withColumn("pos", F.row_number().over(order))
+    rows = tokens.withColumn("pos", F.row_number().over(order))
     stop = F.when(t.has_any(F.col("text"), v.AREA_STOPS), F.col("pos"))
     anchors = rows.withColumn("stop", F.min(stop).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)))
     kinds = F.array_compact(F.array(*[F.when(t.has_any(F.col("text"), FIELDS[f][0]), F.struct(F.lit(f).alias("field"), F.lit(FIELDS[f][1]).alias("left"), F.lit(FIELDS[f][2]).alias("below"))) for f in fields]))
@@ -52,13 +56,13 @@ def field_texts(tokens: DataFrame, *fields: str) -> DataFrame:
     """doc_id and each field's values glued together in order of anchors; documents without any have the empty string."""
     glued = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("anchor", "pos", "value")))), lambda r: r["value"]), "")
     found = located(tokens, *fields).groupBy(F.col("doc_id").alias("_d")).agg(*[glued(f).alias(f) for f in fields])
-    docs = shared(tokens.select("doc_id"), "doc_id").distinct()
+    docs = tokens.select("doc_id").distinct()
     return docs.join(found, F.col("doc_id") == F.col("_d"), "left").select("doc_id", *[t.some(f).alias(f) for f in fields])
 
 
 def field_text(tokens: DataFrame, field: str) -> DataFrame:
     """doc_id and one field."""
-    return field_texts(tokens, field)
+    return field_texts(dealt(tokens), field)
 
 
 def region_fields(tokens: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ def extracted(tokens: DataFrame, fixed: bool = False) -> DataFrame:
     Fields found by position win over those found in the text, each by itself. All parts are dealt by
     document.
     """
+    tokens = geometry.dealt(tokens)
     text = geometry.token_text(tokens)
     found = geometry.region_fields(tokens).join(text, "doc_id").withColumn("parsed", rules.report_fields(F.col("raw_text"), fixed))
     name, code = t.filled(F.col("project_name"), F.col("parsed.project_name")), t.filled(F.col("project_code"), F.col("parsed.project_code"))

@@ -39,7 +39,8 @@ def deduplicated(rows: DataFrame, existing: DataFrame | None = None, whole: bool
         has = has.select(F.lit(None).cast("long").alias("seq"), "filename", "ext", "stem", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), F.lit("/"), "ext").alias("family"))
         families = families.join(has.select("family").distinct().withColumn("met", F.lit(True)), "family", "left").select("family", (F.col("single") & F.col("met").isNull()).alias("single"))
     named = spread_join(named, families.withColumnRenamed("family", "_f"), "family", "_f", ["seq"])
-    easy = ranked(named.where("single"), "family", F.floor(F.col("seq") / CHUNK_ROWS), [F.col("seq")], "k")
+    named = shared(named.withColumn("_piece", F.floor(F.col("seq") / CHUNK_ROWS)), "family", "_piece")
+    easy = ranked(named, "family", F.col("_piece"), [F.col("seq")], "k").where("single")  # a filter before would go below the exchange
     easy = easy.select("seq", "filename", F.when(F.col("k") == 0, F.col("filename")).otherwise(F.concat("stem", F.lit("_"), (F.col("k") + 1).cast("string"), "ext")).alias("target"))
     hard = named.where("NOT single").select("family", "seq", "filename", "stem", "ext")
     if existing is not None:

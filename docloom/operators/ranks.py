@@ -66,8 +66,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, left: str, right: str, by: li
     A table that was just aggregated by its key is dealt by it already, and adaptive execution can't
     split a join that rests on that. So rows also get a salt out of the columns `by`, and the table's
     rows go once to each salt: a hot key spreads over as many tasks at once, and both sides are dealt
-    anew for this join alone, which adaptive execution may split further.
+    anew for this join alone, which adaptive execution may split further. The salt is never null, so that
+    no filter for that is inferred, which would be evaluated again below every exchange.
     """
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"), F.lit(0)))
     keyed = keyed.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(keyed, (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_salted")), how).drop("_salt", "_salted", right)

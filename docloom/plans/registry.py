@@ -113,7 +113,7 @@ _add("token_text", "ocr_tokens", geometry.token_text, "SELECT doc_id, string_agg
 _add("token_order", "ocr_tokens", lambda r: r.select("doc_id", "in_pos", F.row_number().over(o.token_window()).alias("pos")), "SELECT doc_id, in_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, in_pos) AS INTEGER) AS pos FROM r")
 _add("field_region_name", "ocr_tokens", lambda r: geometry.field_text(r, "project_name"), o.located("project_name"))
 _add("field_region_code", "ocr_tokens", lambda r: geometry.field_text(r, "project_code"), o.located("project_code"))
-_add("field_region_values", "ocr_tokens", lambda r: geometry.located(r, "project_name").drop("field"), o.located_rows("project_name"))
+_add("field_region_values", "ocr_tokens", lambda r: geometry.located(geometry.dealt(r), "project_name").drop("field"), o.located_rows("project_name"))
 _add("nearby_value", "ocr_tokens", lambda r: geometry.nearby_value(r, "工程名称"), o.NEARBY)
 _add("merge_region_text", "ocr_tokens", lambda r: merge.extracted(geometry.kept_tokens(r)), o.EXTRACTED)
 
