@@ -254,3 +254,10 @@ FROM s LEFT JOIN u ON u.doc_id = s.doc_id"""
 ERRORS = f"""SELECT concat('/in/', doc_id, '.jpg') AS file, '无法识别工程信息' AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {REPORT_NAME} END AS name FROM r) WHERE name = ''"""
 #: Without the file, a failure has no source.
 RENAME_SHEET = SHEET.replace("concat('/in/', s.doc_id, '.jpg') AS source", "CASE WHEN status = 'success' THEN concat('/in/', s.doc_id, '.jpg') ELSE '' END AS source")
+#: Every first name is taken, so counting begins at 2.
+RENAME_BESIDE = f"""{RESULTS}, u AS (SELECT doc_id, concat('/out/', {_FILE}, '_', row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id) + 1, '.jpg') AS target FROM s WHERE status = 'success')
+SELECT s.doc_id AS seq, project_name, project_code, status, CASE WHEN status = 'success' THEN '/in/a.jpg' END AS source, u.target FROM s LEFT JOIN u ON u.doc_id = s.doc_id"""
+_HEAD, _, _BODY = EXTRACTED.rpartition("\nSELECT ")
+IMAGE_RUN = f"""{_HEAD}, e AS (SELECT {_BODY})
+SELECT d.doc_id AS seq, CAST(d.doc_id AS VARCHAR) AS path, coalesce(e.project_name, '') AS project_name, coalesce(e.project_code, '') AS project_code, coalesce(e.source, '') AS source,
+  coalesce(e.report_type, '') AS report_type, coalesce(e.valid, false) AS valid, '' AS error FROM (SELECT DISTINCT doc_id FROM r) d LEFT JOIN e ON e.doc_id = d.doc_id"""

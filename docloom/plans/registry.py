@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import pipeline
 from ..functions import rules, scoring
 from ..functions import text as t
 from ..functions import vocab as v
@@ -119,12 +120,16 @@ _add("merge_region_text", "ocr_tokens", lambda r: merge.extracted(geometry.kept_
 
 
 
-def _tsv(r: DataFrame) -> DataFrame:
-    """One TSV file per document, parsed by the source."""
+def _tsv_files(r: DataFrame) -> DataFrame:
+    """path, content: a TSV file per document."""
     line = F.concat_ws("\t", "text", "conf", "x", "y", "w", "h")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("in_pos", line.alias("line")))), lambda t_: t_["line"]), "\n")
-    files = r.groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.encode(F.concat(F.lit("text\tconf\tleft\ttop\twidth\theight\n"), body), "UTF-8").alias("content"))
-    return tokens.tsv_tokens(files)
+    return r.groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.encode(F.concat(F.lit("text\tconf\tleft\ttop\twidth\theight\n"), body), "UTF-8").alias("content"))
+
+
+def _read(path: str, content: bytes) -> list[tuple]:
+    """A recogniser of images that are token files."""
+    return tokens.parsed_tsv(content.decode())
 
 
 def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +151,8 @@ def _members(r: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
     return found.select("path", "member", F.decode("content", "UTF-8").alias("text"))
 
 
-_add("tsv_tokens", "ocr_tokens", _tsv, "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY in_pos) - 1 AS INTEGER) AS in_pos, text, conf, x, y, w, h FROM r WHERE trim(text) <> '' AND conf <> '-1'")
+_add("image_run", "ocr_tokens", lambda r: pipeline.from_images(_tsv_files(r).withColumn("seq", F.col("path").cast("long")), _read), o.IMAGE_RUN)
+_add("tsv_tokens", "ocr_tokens", lambda r: tokens.tsv_tokens(_tsv_files(r)), "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY in_pos) - 1 AS INTEGER) AS in_pos, text, conf, x, y, w, h FROM r WHERE trim(text) <> '' AND conf <> '-1'")
 _MEMBERS = "SELECT concat(seq, '.zip') AS path, ltrim(path, '/') AS member, path AS text FROM r"
 _add("archive_members", "input_files", _members, f"{_MEMBERS} UNION ALL SELECT concat(seq, '.zip'), 'note.txt', CAST(seq AS VARCHAR) FROM r")
 _add("archive_images", "input_files", lambda r: _members(r, v.IMAGE_SUFFIXES), f"{_MEMBERS} WHERE lower({o.SUFFIX}) IN ({o.listed(v.IMAGE_SUFFIXES)})")
@@ -179,6 +185,12 @@ def _results(r: DataFrame) -> DataFrame:
     return merge.rename_results(_parsed(r))
 
 
+def _plan_beside(fields: DataFrame) -> DataFrame:
+    """The rename plan into a folder where every name that the run would give is taken already."""
+    taken = naming.planned(merge.rename_results(fields).where("status = 'success'")).select("filename").distinct()
+    return pipeline.rename_plan(fields, "/out/", taken).select("seq", "project_name", "project_code", "status", "source", "target")
+
+
 def _sheet(r: DataFrame, file_too: bool = True) -> DataFrame:
     """The listing of a whole run: names made unique among the successes."""
     rows = ranks.shared(_results(r), "seq")
@@ -192,5 +204,6 @@ _add("report_status", "report_text", lambda r: merge.rename_results(_parsed(r).w
 _add("rename_results", "report_text", _results, o.RENAME)
 _add("result_sheet", "report_text", _sheet, o.SHEET)
 _add("rename_sheet", "report_text", lambda r: _sheet(r, file_too=False), o.RENAME_SHEET)
+_add("rename_plan_existing", "report_text", lambda r: _plan_beside(pipeline.from_texts(r.select(F.col("doc_id").alias("seq"), F.lit("/in/a.jpg").alias("path"), "text"))), o.RENAME_BESIDE)
 _add("error_struct", "report_text", lambda r: _results(r).select("seq", report.error(F.when(F.col("status") != "success", F.col("path")), F.nullif("message", F.lit(""))).alias("e")).select("seq", "e.file", "e.reason"), f"{o.RESULTS} SELECT doc_id AS seq, CASE WHEN status <> 'success' THEN concat('/in/', doc_id, '.jpg') ELSE '' END AS file, '' AS reason FROM s")
 _add("error_records", "report_text", lambda r: report.error_records(_results(r.withColumn("text", F.when(F.col("doc_id") % 5 == 0, "").otherwise(text()))).withColumn("source", F.col("path")).withColumn("file", F.col("path"))), o.ERRORS)
