@@ -55,8 +55,8 @@ BLANKS = " \t\n\x0b\f\r"
 
 def words_of(text: Column) -> Column:
     """Words between white space; none of a blank text."""
-    bare = F.btrim(text, F.lit(BLANKS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
+    plain = reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit(" ")), BLANKS[1:], text)
+    return F.array_remove(F.split(plain, " "), "")  # no pattern: a split by one character needs none
 
 
 def terms_in(words: Column, whole: Column) -> Column:
