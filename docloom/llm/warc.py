@@ -7,7 +7,8 @@ merges ranges that lie close together and reads each merged range once.
 Of records with equal payloads of at least `min_revisit` bytes, that with the largest id is the
 response and the others are revisits that carry headers alone. Which one that is comes from an
 aggregate over digests, of which only those that repeat go on; the join back, of ids and digests,
-spreads a hot payload over tasks. Pages then join their record types by id.
+spreads a hot payload over tasks. Pages then join their record types by id, without being moved if there
+are few revisits.
 
 Defined results: null html is an empty payload; a null URL is written as about:blank; control
 characters and spaces in URLs are percent-encoded; null ids are less than all others; repeated rows
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import spread_join
-from .common import scratch, small_batches, table
+from .common import scratch, small_batches, table, written
 from .files import opened
 
 #: Payloads shorter than this are never revisits.
@@ -40,6 +41,8 @@ FILE_BYTES = 64 << 20
 #: Ranges closer than this are read at once; no merged read is longer than READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: So many revisits at most are broadcast, some 10 MB; more are joined by a shuffle of the pages.
+FEW_REVISITS = 1 << 17
 #: Bytes of archives that a reading task is dealt: the least and, if that makes very many tasks, the most.
 TASK_BYTES, MOST_TASK_BYTES, MANY_TASKS = 4 << 20, 256 << 20, 4096
 
@@ -120,9 +123,10 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, file_bytes:
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    known = revisits(pages, min_bytes).withColumnRenamed("page_id", "_page")
+    known = written(revisits(pages, min_bytes).withColumnRenamed("page_id", "_page"), "revisits")
+    few = known.count() <= FEW_REVISITS
     own = F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "UTF-8")))
-    rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("_page")) & (own == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
+    rows = pages.join(F.broadcast(known) if few else known, F.col("page_id").eqNullSafe(F.col("_page")) & (own == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, name, at = None, "", 0

@@ -102,7 +102,9 @@ def pages():
     return [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big), (4, "http://a b\r\n", small), (5, "", small), (6, "u", None), (7, "u", ""), (8, "ü", "é漢" * 600), (None, "n", big), (9, "z", "é漢" * 600), (10, "r", "q" * 5000), (10, "r", "q" * 5000), (11, "two of an id", "w" * 3000), (11, "two of an id", "v" * 3000), (12, "", "w" * 3000)]
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_archives_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW_REVISITS", few)
     rows = [(*p, 1) for p in pages()]
     index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, file int"), scratch(spark, "warc-test"), file_bytes=2000)
     assert index.count() == len(rows) and index.select("file").distinct().count() > 1
