@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table
 from .ngrams import means
-from .samples import distinct_texts, features
+from .samples import distinct_texts, features, released
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -102,7 +102,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     place = {lang: i for i, lang in enumerate(languages)}
     ys = np.array([place[x] for x in found], int)
     code = codewords(len(languages))
-    return Model(languages, code, *fitted(data, ys, code))
+    learned = fitted(data, ys, code)
+    del data
+    released()
+    return Model(languages, code, *learned)
 
 
 def fitted(data: list, ys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table, text_of
 from .ngrams import means
-from .samples import distinct_texts, features
+from .samples import distinct_texts, features, released
 
 BITS = 17
 DIM = 16
@@ -70,13 +70,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1 or len(set(found)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if n0 == n1 else (30.0 if n1 else -30.0))
-    return Model(fitted(data, ys), 0.0)
+    weights = fitted(data, ys)
+    del data
+    released()
+    return Model(weights, 0.0)
 
 
 def fitted(data: list, ys: np.ndarray) -> np.ndarray:
     """Stochastic gradient descent on one document at a time, with a falling rate."""
     draw = np.random.default_rng(7)
-    vectors = draw.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vectors = np.empty((1 << BITS, DIM), np.float32)
+    for part in np.array_split(vectors, 16):
+        part[:] = draw.uniform(-1 / DIM, 1 / DIM, part.shape)
     output = np.zeros((DIM, 2), np.float32)
     share = np.bincount(ys, minlength=2) / len(ys)
     cost = 0.5 / share  # both labels weigh alike

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,5 +54,13 @@ def features(rows: DataFrame, label: str, orders: tuple[int, ...], words: bool,
     else:
         kept = found.toArrow()
     dropped(found)
-    kept = kept.sort_by([("_h", "ascending"), ("label", "ascending")])
-    return kept["label"].to_pylist(), [(np.frombuffer(i.as_py(), np.uint32), np.frombuffer(n.as_py(), np.float32)) for i, n in zip(kept["ids"], kept["ns"], strict=True)]
+    order = pa.compute.sort_indices(kept.select(["_h", "label"]), [("_h", "ascending"), ("label", "ascending")]).to_pylist()
+    views = {n: [np.frombuffer(x.as_buffer(), t) for chunk in kept[n].chunks for x in chunk] for n, t in (("ids", np.uint32), ("ns", np.float32))}
+    labels = kept["label"].to_pylist()
+    return [labels[i] for i in order], [(views["ids"][i], views["ns"][i]) for i in order]  # views: the driver holds the sample once
+
+
+def released() -> None:
+    """Give memory that a sample took back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
