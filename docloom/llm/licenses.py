@@ -155,6 +155,7 @@ class Index:
         for k, t in enumerate(self.templates):
             for i, w in enumerate(t.ordered[: len(t.ordered) - t.least + 1]):
                 self.prefixes[t.width].setdefault(w, []).append((k, i))
+        self.heads = frozenset(w for heads in self.prefixes.values() for w in heads)
 
     def blocks(self, words: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
         """(block, template, shared words) of every block of that width that meets one of its templates."""
@@ -181,7 +182,7 @@ class Index:
         """Number of words, places of phrases, and blocks that meet templates."""
         words = words_of(text)
         places, blocks = [], []
-        for width in self.widths:
+        for width in () if self.heads.isdisjoint(words) else self.widths:
             step, last = width // 2, last_block(len(words), width)
             for b, k, shared in self.blocks(words, width):
                 t = self.templates[k]
