@@ -45,6 +45,11 @@ def report_fields(text: Column, fixed: bool = False) -> Column:
     return F.struct(project_name(flat, fixed).alias("project_name"), project_code(flat, fixed).alias("project_code"))
 
 
+def has_result(name: Column) -> Column:
+    """Whether an extraction counts: it has a name."""
+    return t.some(name) != ""
+
+
 def report_type(code: Column, text: Column) -> Column:
     """finish, start or empty; `text` still has its line ends."""
     return F.when(code != "", "finish").when(t.has_any(text, v.START_PHRASES), "start").otherwise("")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vocab as v
-from .ranks import shared
 
 #: Bands around an anchor, in pixels.
 SAME_LINE, NAME_LEFT, NAME_BELOW, CODE_LEFT, CODE_BELOW = 60, 50, 260, 30, 180
@@ -28,46 +27,60 @@ def token_text(tokens: DataFrame, sep: str = "\n") -> DataFrame:
 FIELDS = {"project_name": (v.NAME_LABELS, NAME_LEFT, NAME_BELOW, t.area_name), "project_code": (v.CODE_LABELS, CODE_LEFT, CODE_BELOW, t.area_code)}
 
 
-def dealt(tokens: DataFrame) -> DataFrame:
-    """doc_id, in_pos, x, y, text behind one exchange by document, which all that is made of the rows can use."""
-    return shared(tokens.select("doc_id", "in_pos", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), t.some("text").alias("text")), "doc_id")
+def reading_order() -> WindowSpec:
+    """Tokens of a document from top to bottom, then from left to right, then as they came."""
+    return Window.partitionBy("doc_id").orderBy("y", "x", "in_pos")
 
 
-def located(tokens: DataFrame, *fields: str) -> DataFrame:
-    """doc_id, field, anchor, pos, value: for each anchor, every value right of or below it, up to the next stop word.
+def pages(tokens: DataFrame) -> DataFrame:
+    """doc_id, tokens (pos, x, y, text, in_pos in reading order), stops (the positions of stop words) of each document.
 
-    All fields go together, and the window that finds each anchor's stop and the self-join on the document
-    use one exchange, if the tokens are :func:`dealt`.
+    One aggregate deals the tokens by document; what follows looks at a page's own tokens alone.
     """
-    order = Window.partitionBy("doc_id").orderBy("y", "x", "in_pos")
-    rows = tokens.withColumn("pos", F.row_number().over(order))
-    stop = F.when(t.has_any(F.col("text"), v.AREA_STOPS), F.col("pos"))
-    anchors = rows.withColumn("stop", F.min(stop).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)))
-    kinds = F.array_compact(F.array(*[F.when(t.has_any(F.col("text"), FIELDS[f][0]), F.struct(F.lit(f).alias("field"), F.lit(FIELDS[f][1]).alias("left"), F.lit(FIELDS[f][2]).alias("below"))) for f in fields]))
-    anchors = anchors.select(F.col("doc_id").alias("_d"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("pos").alias("anchor"), "stop", F.inline(kinds))
-    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    near = ((dx > 0) & (F.abs(dy) <= SAME_LINE)) | ((dx >= -F.col("left")) & (dy > 0) & (dy < F.col("below")))
-    found = rows.join(anchors, (F.col("doc_id") == F.col("_d")) & (F.col("pos") > F.col("anchor")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop"))) & near)
-    value = F.coalesce(*[F.when(F.col("field") == f, FIELDS[f][3](F.col("text"))) for f in fields])
-    return found.select("doc_id", "field", "anchor", "pos", value.alias("value")).where("value <> ''")
-
-
-def field_texts(tokens: DataFrame, *fields: str) -> DataFrame:
-    """doc_id and each field's values glued together in order of anchors; documents without any have the empty string."""
-    glued = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("anchor", "pos", "value")))), lambda r: r["value"]), "")
-    found = located(tokens, *fields).groupBy(F.col("doc_id").alias("_d")).agg(*[glued(f).alias(f) for f in fields])
-    docs = tokens.select("doc_id").distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_d"), "left").select("doc_id", *[t.some(f).alias(f) for f in fields])
+    token = F.struct(F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("x", F.lit(0)).alias("x"), "in_pos", t.some("text").alias("text"))
+    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    rows = rows.select("doc_id", F.transform("tokens", lambda k, i: F.struct((i + 1).alias("pos"), k["x"].alias("x"), k["y"].alias("y"), k["text"].alias("text"), k["in_pos"].alias("in_pos"))).alias("tokens"))
+    return rows.withColumn("stops", F.transform(F.filter("tokens", lambda k: t.has_any(k["text"], v.AREA_STOPS)), lambda k: k["pos"]))
+
+
+def areas(field: str) -> Column:
+    """Of a page, the values (anchor, pos, value) of a field: for each anchor, every one right of or below it, up to the next stop word."""
+    labels, left, below, clean = FIELDS[field]
+
+    def near(a: Column, k: Column) -> Column:
+        dx, dy = k["x"] - a["x"], k["y"] - a["y"]
+        return (k["pos"] > a["pos"]) & (k["pos"] < a["stop"]) & (((dx > 0) & (F.abs(dy) <= SAME_LINE)) | ((dx >= -left) & (dy > 0) & (dy < below)))
+
+    def anchor(k: Column) -> Column:
+        stop = F.coalesce(F.get(F.filter("stops", lambda s: s > k["pos"]), F.lit(0)), F.lit((1 << 31) - 1))
+        return F.struct(k["pos"].alias("pos"), k["x"].alias("x"), k["y"].alias("y"), stop.alias("stop"))
+
+    def values(a: Column) -> Column:
+        return F.transform(F.filter("tokens", lambda k: near(a, k)), lambda k: F.struct(a["pos"].alias("anchor"), k["pos"].alias("pos"), clean(k["text"]).alias("value")))
+
+    anchors = F.transform(F.filter("tokens", lambda k: t.has_any(k["text"], labels)), anchor)
+    return F.filter(F.flatten(F.transform(anchors, values)), lambda r: r["value"] != "")
+
+
+def located(tokens: DataFrame, field: str) -> DataFrame:
+    """doc_id, anchor, pos, value: a row for every value of a field."""
+    return pages(tokens).select("doc_id", F.inline(areas(field)))
+
+
+def glued(field: str) -> Column:
+    """A page's values of a field one after the other, in order of anchors; empty if there are none."""
+    return F.array_join(F.transform(areas(field), lambda r: r["value"]), "").alias(field)
 
 
 def field_text(tokens: DataFrame, field: str) -> DataFrame:
     """doc_id and one field."""
-    return field_texts(dealt(tokens), field)
+    return pages(tokens).select("doc_id", glued(field))
 
 
 def region_fields(tokens: DataFrame) -> DataFrame:
-    """doc_id, project_name, project_code, source by position."""
-    return field_texts(tokens, "project_name", "project_code").withColumn("source", F.lit("field_region"))
+    """doc_id, project_name, project_code, source by position, and raw_text: the tokens' texts in input order."""
+    text = F.array_sort(F.transform("tokens", lambda k: F.struct(k["in_pos"].alias("in_pos"), k["text"].alias("text"))))
+    return pages(tokens).select("doc_id", *map(glued, FIELDS), F.lit("field_region").alias("source"), F.array_join(F.transform(text, lambda r: r["text"]), "\n").alias("raw_text"))
 
 
 def nearby_value(tokens: DataFrame, keyword: str, reach: int = 300) -> DataFrame:

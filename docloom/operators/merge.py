@@ -26,18 +26,16 @@ def chosen_name(candidates: DataFrame) -> DataFrame:
 def extracted(tokens: DataFrame, fixed: bool = False) -> DataFrame:
     """doc_id, project_name, project_code, source, report_type, valid, error of tokenised documents.
 
-    Fields found by position win over those found in the text, each by itself. All parts are dealt by
-    document.
+    Fields found by position win over those found in the text, each by itself. Tokens are dealt by
+    document once, for all parts.
     """
-    tokens = geometry.dealt(tokens)
-    text = geometry.token_text(tokens)
-    found = geometry.region_fields(tokens).join(text, "doc_id").withColumn("parsed", rules.report_fields(F.col("raw_text"), fixed))
+    found = geometry.region_fields(tokens).select("*", F.explode(F.array(rules.report_fields(F.col("raw_text"), fixed))).alias("parsed"))  # evaluated once
     name, code = t.filled(F.col("project_name"), F.col("parsed.project_name")), t.filled(F.col("project_code"), F.col("parsed.project_code"))
     out = found.select("doc_id", name.alias("project_name"), code.alias("project_code"), "source", "raw_text")
-    return out.select("doc_id", "project_name", "project_code", "source", rules.report_type(F.col("project_code"), F.col("raw_text")).alias("report_type"), (F.col("project_name") != "").alias("valid"), F.lit("").alias("error"))
+    return out.select("doc_id", "project_name", "project_code", "source", rules.report_type(F.col("project_code"), F.col("raw_text")).alias("report_type"), rules.has_result(F.col("project_name")).alias("valid"), F.lit("").alias("error"))
 
 
 def rename_results(fields: DataFrame, *more: str) -> DataFrame:
     """seq, path, project_name, project_code, status, message (and columns named): one schema for successes and failures."""
-    ok = t.some("project_name") != ""
+    ok = rules.has_result(F.col("project_name"))
     return fields.select("seq", "path", *more, F.when(ok, F.col("project_name")).otherwise("").alias("project_name"), F.when(ok, t.some("project_code")).otherwise("").alias("project_code"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(ok, "").otherwise(t.some("error")).alias("message"))

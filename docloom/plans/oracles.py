@@ -4,16 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
-
 from ..functions import vocab as v
 
 
-def token_window():
-    """Reading order within a document."""
-    return Window.partitionBy("doc_id").orderBy("y", "x", "in_pos")
-
-
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -75,7 +75,7 @@ _columns("detect_template", "report_text", ["doc_id"], {"template": (lambda: rul
 _columns("is_report_page", "report_text", ["doc_id"], {"is_page": (lambda: rules.is_report_page(text()), o.any_of("text", v.PAGE_WORDS["project_name"] + v.PAGE_WORDS["project_code"]))})
 _columns("find_key", "report_text", ["doc_id"], {"name_key": (lambda: t.first_word(text(), v.NAME_KEYS), o.first_of("text", v.NAME_KEYS)), "code_key": (lambda: t.first_word(text(), v.CODE_LABELS), o.first_of("text", v.CODE_LABELS))})
 _columns("find_field", "report_text", ["doc_id"], {"has_name": (lambda: rules.has_field(text(), "project_name"), o.any_of("text", v.PAGE_WORDS["project_name"])), "has_code": (lambda: rules.has_field(text(), "project_code"), o.any_of("text", v.PAGE_WORDS["project_code"]))})
-_columns("check_result", "report_text", ["doc_id"], {"valid": (lambda: fields()["project_name"] != "", f"({o.REPORT_NAME}) <> ''")})
+_columns("check_result", "report_text", ["doc_id"], {"valid": (lambda: rules.has_result(fields()["project_name"]), f"({o.REPORT_NAME}) <> ''")})
 _columns("clean_project_name", "report_text", ["doc_id"], {"name": (lambda: t.phrase_name(text()), o.phrase("text"))})
 _columns("clean_lite_text", "report_text", ["doc_id"], {"cleaned": (lambda: t.lite_text(text()), o.lite("text"))})
 _columns("clean_region_name", "report_text", ["doc_id"], {"name": (lambda: t.region_name(text()), o.region_name("text"))})
@@ -111,10 +111,10 @@ _add("waiting_status", "input_files", lambda r: report.waiting(r), "SELECT seq,
 # Tokens
 _add("tsv_token_filter", "ocr_tokens", lambda r: geometry.kept_tokens(r).select("doc_id", "in_pos", "text"), "SELECT doc_id, in_pos, text FROM r WHERE trim(text) <> '' AND conf <> '-1'")
 _add("token_text", "ocr_tokens", geometry.token_text, "SELECT doc_id, string_agg(text, chr(10) ORDER BY in_pos) AS raw_text FROM r GROUP BY doc_id")
-_add("token_order", "ocr_tokens", lambda r: r.select("doc_id", "in_pos", F.row_number().over(o.token_window()).alias("pos")), "SELECT doc_id, in_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, in_pos) AS INTEGER) AS pos FROM r")
+_add("token_order", "ocr_tokens", lambda r: r.select("doc_id", "in_pos", F.row_number().over(geometry.reading_order()).alias("pos")), "SELECT doc_id, in_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, in_pos) AS INTEGER) AS pos FROM r")
 _add("field_region_name", "ocr_tokens", lambda r: geometry.field_text(r, "project_name"), o.located("project_name"))
 _add("field_region_code", "ocr_tokens", lambda r: geometry.field_text(r, "project_code"), o.located("project_code"))
-_add("field_region_values", "ocr_tokens", lambda r: geometry.located(geometry.dealt(r), "project_name").drop("field"), o.located_rows("project_name"))
+_add("field_region_values", "ocr_tokens", lambda r: geometry.located(r, "project_name"), o.located_rows("project_name"))
 _add("nearby_value", "ocr_tokens", lambda r: geometry.nearby_value(r, "工程名称"), o.NEARBY)
 _add("merge_region_text", "ocr_tokens", lambda r: merge.extracted(geometry.kept_tokens(r)), o.EXTRACTED)
 
