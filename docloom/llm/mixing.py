@@ -13,7 +13,8 @@ The schedule needs one entry per source at a time. One task makes it as a stream
 
 Defined results: a null source is a source of its own; null and empty texts have one byte; a text longer
 than a block takes as many of its source's blocks as it fills; equal deadlines go by the sources' names,
-equal hashes of ids by id, then by text; repeated rows get places of their own;
+equal hashes of ids by id, then by text; neither a null id nor one of many rows is held by one task, but
+rows equal in id and text are; repeated rows get places of their own;
 an empty table gives an empty result; negative or infinite weights and slots beyond 63 bits raise. The
 rows' own columns are carried in a struct, so no name clashes.
 """
@@ -129,7 +130,7 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
         rows = rows.join(F.broadcast(per_source), F.col("_source") == F.col("_s")).drop("_s")
     else:
         rows = spread_join(rows, per_source, "_source", "_s", ["_id", "_tie"])
-    chunk = F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_pieces"))
+    chunk = F.pmod(F.xxhash64("_id", "_tie", F.lit(3)), F.col("_pieces"))  # a hot id spreads by its texts
     order: list[Column] = [F.xxhash64("_id", F.lit(4)), F.col("_id"), F.col("_tie")]
     rows = ranked(rows, "_source", chunk, order, "_at", F.col("_bytes")).withColumnRenamed("_bytes", "_size")
     rows = rows.withColumn("_block", F.floor(F.col("_at") / block_bytes))

@@ -54,6 +54,18 @@ def test_mix_is_brute_force(spark):
     assert sorted((x._row.doc_id, x._slot, x._at) for x in found) == brute_mix(rows, weights, 200)
 
 
+def test_rows_of_a_hot_id_spread(spark, monkeypatch):
+    """Half the rows of one source without an id, half of one id: all have places of their own, in many pieces."""
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 20)
+    rows = [(None if i % 2 else 5, f"text {i}", "en", "s", 1) for i in range(600)]
+    found = mixing.placed(spark.createDataFrame(rows, DOCS), block_bytes=50).collect()
+    at = 0
+    for r in sorted(found, key=lambda r: r._at):
+        assert r._at == at and r._slot == r._block == at // 50
+        at += r._size
+    assert len(found) == 600
+
+
 @pytest.mark.parametrize("n", [2, 3, 50, 250, 1000])
 def test_lag_over_many_slots(n):
     """A hundred thousand slots: every source's blocks stay strictly within one of its exact share, whatever its weight."""
