@@ -117,8 +117,12 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
     return chosen, s[order[: n - need + chosen]]
 
 
-def candidates(docs: DataFrame, rows: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that put every candidate pair into one cluster."""
+def candidates(docs: DataFrame, rows: DataFrame, counts: np.ndarray, percent: int = PERCENT, exact: bool = True) -> DataFrame:
+    """Links (a, b) that put every candidate pair into one cluster.
+
+    Each class of equal sets goes in with its least row. Unless that must be exact, some few others come
+    along that a filter lets through: they are linked with the least row, so components stay the same.
+    """
     spark = docs.sparkSession
     usual = float(counts.mean())
     shared = spark.sparkContext.broadcast(counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
@@ -140,7 +144,8 @@ def candidates(docs: DataFrame, rows: DataFrame, counts: np.ndarray, percent: in
 
     found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("_place"))
     found = found.mapInArrow(prefixes, "doc_id long, n int, l int, tokens array<long>, hot array<boolean>")
-    found = found.join(reps, F.col("doc_id") == F.col("id"), "left_semi")
+    if exact:
+        found = found.join(reps, F.col("doc_id") == F.col("id"), "left_semi")
     found = found.select("hot", F.posexplode("tokens").alias("_at", "token"), "doc_id", "n", "l")
     salt = F.when(F.get("hot", F.col("_at")), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS))).otherwise(-1).cast("int")
     found = found.select("token", "doc_id", "n", "l", salt.alias("salt")).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
@@ -465,7 +470,7 @@ def join(docs: DataFrame, percent: int = PERCENT, links: bool = True) -> DataFra
     """
     plain_unions(docs.sparkSession)
     rows, counts = profile(docs, percent)
-    near = candidates(docs, rows, counts, percent)
+    near = candidates(docs, rows, counts, percent, exact=links)
     clusters = written(components(near), "clusters")
     sets = sets_of(docs, clusters)
     edges = written((all_links if links else joining_links)(sets, percent), "links")

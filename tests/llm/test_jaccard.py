@@ -92,6 +92,14 @@ def test_work_on_near_copies_grows_with_their_number(spark, monkeypatch):
     assert took[1] < 2.5 * took[0]
 
 
+def test_copies_that_the_filter_lets_through_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "members", lambda docs, ids: (F.lit(0).cast("long"), lambda places: np.ones(len(places), bool)))
+    rows = many()
+    rows += [(1000 - r[0], *r[1:]) for r in rows[::2]]
+    found = jaccard.join(spark.createDataFrame(rows, DOCS), links=False).collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
+
+
 def test_bands_of_similar_sizes_are_neighbours(spark):
     rows = spark.range(1, 20001).select("id", jaccard.band_of(F.col("id"), 80).alias("a"), jaccard.band_of(F.ceil(F.col("id") * 0.8), 80).alias("b"), jaccard.band_of(F.col("id"), 50).alias("c"), jaccard.band_of(F.ceil(F.col("id") / 2), 50).alias("d"))
     assert rows.where("a - b > 1 OR c - d > 1 OR a < b").count() == 0
