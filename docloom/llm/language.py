@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import dropped, held_out, small_batches, table
 from .ngrams import means
-from .samples import distinct_texts, features, released
+from .samples import distinct_texts, features, learned
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -92,20 +92,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn the bits from rows with a language that aren't held out; the sample's size is a parameter."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    nothing = Model([], np.zeros((0, 0)), np.zeros(0), np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
     if not counts:
-        return Model([], np.zeros((0, 0)), np.zeros(0), np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
+        return nothing
     each = max(1, min(per_language, MOST_ROWS // len(counts)))
     shares = docs.sparkSession.createDataFrame([(lang, round(min(1.0, SPARE * each / n) * (1 << 30))) for lang, n in counts.items()], "_l string, _share long")
     rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("_l")).where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1 << 30)) < F.col("_share"))
-    found, data = features(distinct_texts(rows, "lang", each, 11), "lang", ORDERS, False, BITS, lower=True)
+    found = features(distinct_texts(rows, "lang", each, 11), "lang", ORDERS, False, BITS, lower=True)
     languages = sorted(counts)
     place = {lang: i for i, lang in enumerate(languages)}
-    ys = np.array([place[x] for x in found], int)
     code = codewords(len(languages))
-    learned = fitted(data, ys, code)
-    del data
-    released()
-    return Model(languages, code, *learned)
+    got = learned(found, lambda langs, data: list(fitted(data, np.array([place[x] for x in langs], int), code)))
+    dropped(found)
+    return Model(languages, code, *got) if got else nothing
 
 
 def fitted(data: list, ys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 A document is the mean of learned vectors of its hashed words and character n-grams; a softmax layer
 over that mean gives the score. Both layers are learned together by stochastic gradient descent in
-numpy on the driver, from a bounded sample of labelled rows whose features the executors count. As the
+numpy in one task, from a bounded sample of labelled rows whose features all tasks count. As the
 output is linear in the vectors, scoring looks up one number per feature: the model that is sent out
 is one table of 2 ** BITS floats, whatever the corpus.
 
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table, text_of
+from .common import dropped, held_out, small_batches, table, text_of
 from .ngrams import means
-from .samples import distinct_texts, features, released
+from .samples import distinct_texts, features, learned
 
 BITS = 17
 DIM = 16
@@ -65,15 +65,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     """Learn from rows that aren't held out. The sample's size is a parameter, so it may be broadcast."""
     picked, counts = sampled(labels, per_label)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
-    found, data = features(distinct_texts(rows, "y", per_label, 2), "y", ORDERS, True, BITS)
-    ys = np.array(found, int)
+    found = features(distinct_texts(rows, "y", per_label, 2), "y", ORDERS, True, BITS)
+    got = learned(found, lambda ys, data: [fitted(data, np.array(ys, int))] if len(set(ys)) > 1 else [])
+    dropped(found)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    if not n0 or not n1 or len(set(found)) < 2:
+    if not n0 or not n1 or not got:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if n0 == n1 else (30.0 if n1 else -30.0))
-    weights = fitted(data, ys)
-    del data
-    released()
-    return Model(weights, 0.0)
+    return Model(got[0], 0.0)
 
 
 def fitted(data: list, ys: np.ndarray) -> np.ndarray:

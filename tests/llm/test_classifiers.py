@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docloom.llm import language, quality, samples
+from docloom.llm import common, language, quality, samples
 from docloom.llm.common import table
 from docloom.llm.ngrams import bags, grams, means
 
@@ -53,13 +53,15 @@ def test_samples_are_bounded_by_texts_whatever_the_ids(spark, monkeypatch):
     docs = spark.createDataFrame(rows, DOCS)
     got = samples.distinct_texts(docs.select("lang", "text"), "lang", 50, 1).collect()
     assert len(got) == 200 and len({(r.lang, r.text) for r in got}) == 200
-    seen = []
-    monkeypatch.setattr(quality, "fitted", lambda data, ys: seen.append(len(ys)) or np.zeros(1 << quality.BITS, np.float32))
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(quality, "fitted", lambda data, ys: seen.add(len(ys)) or np.zeros(1 << quality.BITS, np.float32))
     labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
     quality.train(docs, labels, 40)
-    assert 0 < seen[0] <= 80
-    labels, data = samples.features(docs.selectExpr("lang", "text", "xxhash64(text) AS _h"), "lang", (1, 2), True, 10, most=5000)
-    assert 0 < sum(len(x) for x, _ in data) <= 5000 and len(labels) == len(data)
+    assert 0 < seen.value <= 80
+    few = samples.features(docs.selectExpr("lang", "text", "xxhash64(text) AS _h"), "lang", (1, 2), True, 10, most=5000)
+    kept, size = samples.learned(few, lambda labels, data: [np.array([len(labels), len(data)]), np.array([sum(len(x) for x, _ in data)])])
+    assert 0 < size[0] <= 5000 and kept[0] == kept[1] > 0
+    common.dropped(few)
     many = spark.createDataFrame([(i, words(12, i), f"l{i % 600:03}", "a", 1) for i in range(1300)], DOCS)
     monkeypatch.setattr(language, "EPOCHS", 1)
     model = language.train(many, 2)
